@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm import winnowing
+from sparkloom.llm.secrets import op1_secrets
 from sparkloom.llm.sharding import op8_sharding
+from sparkloom.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_simhash": op2_simhash,
+    "op3_decontamination": winnowing.op3_decontamination,
     "op8_sharding": op8_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": winnowing.ORACLE,
+}
