@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import winnowing
+from sparkloom.llm.langid import op5_language
+from sparkloom.llm.quality import op9_quality
 from sparkloom.llm.secrets import op1_secrets
 from sparkloom.llm.sharding import op8_sharding
 from sparkloom.llm.simhash import op2_simhash
+from sparkloom.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_decontamination": winnowing.op3_decontamination,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
