@@ -12,13 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and returns it with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where the
-    session has none (single-machine tests).
+    It is the one that ``spark.checkpoint.dir`` names; a temporary one is set only where the session
+    has none (single-machine tests).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +26,12 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="sparkloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and returns it with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import winnowing
+from sparkloom.llm.audio import op7_chroma
 from sparkloom.llm.langid import op5_language
+from sparkloom.llm.licenses import op10_licenses
+from sparkloom.llm.mixing import op6_mixing
 from sparkloom.llm.quality import op9_quality
 from sparkloom.llm.secrets import op1_secrets
 from sparkloom.llm.sharding import op8_sharding
@@ -20,8 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": winnowing.op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
+    "op6_mixing": op6_mixing,
+    "op7_chroma": op7_chroma,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
