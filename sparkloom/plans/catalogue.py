@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkloom.plans import metric_queries, text_queries
+from sparkloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_PARTS = [text_queries, metric_queries]
+QUERIES: dict[str, Query] = {name: q for part in _PARTS for name, q in part.R.queries.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.R.oracles.items()}
