@@ -116,12 +116,12 @@ def _fingerprints(df: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 prints = [packed_integers(chroma(decode(x))) for x in part.column(1).to_pylist()]
-                cls = [xxhash.xxh3_128_digest(p.tobytes()) for p in prints]
+                cls = np.array([xxhash.xxh3_64_intdigest(p.tobytes()) for p in prints], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cls, pa.binary()), pa.array([p.tobytes() for p in prints], pa.binary())], ["id", "cls", "prints"]
+                    [part.column(0), pa.array(cls), pa.array([p.tobytes() for p in prints], pa.binary())], ["id", "cls", "prints"]
                 )
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, cls binary, prints binary")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, cls bigint, prints binary")
 
 
 def _landmarks(nodes: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _landmarks(nodes: DataFrame) -> DataFrame:
                 node = part.column(0).take(pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node, pa.array(np.concatenate(ats))], ["key", "node", "at"])
 
-    return nodes.select("cls", "prints").mapInArrow(run, "key bigint, node binary, at int")
+    return nodes.select("cls", "prints").mapInArrow(run, "key bigint, node bigint, at int")
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _aligned(pairs: DataFrame) -> DataFrame:
                 columns = [*part.columns[:4], pa.array(overlap, pa.int32()), pa.array(errors, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shift", "votes", "overlap", "errors"])
 
-    return pairs.mapInArrow(run, "a binary, b binary, shift int, votes bigint, overlap int, errors double")
+    return pairs.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, overlap int, errors double")
 
 
 def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFrame:

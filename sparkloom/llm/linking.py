@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import settle
+
 ORDERS = 4
 
 
@@ -15,14 +17,17 @@ def posting_links(postings: DataFrame, salt: str | None = None) -> DataFrame:
     representatives are the smallest postings under ORDERS hash orders, which depend on the salt, so
     lists that agree in their members need not agree in their representatives. Lists of two are
     thereby held against each other whole; longer ones are connected through several members, never
-    pair by pair. Minima are aggregated before the shuffle, and the join back is one that AQE can split.
+    pair by pair. Keys are counted first, and only postings of keys that occur again go on. Minima are
+    aggregated before the shuffle, and the joins by key are ones that AQE can split.
     """
     seed = F.lit(0) if salt is None else F.col(salt)
+    again = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
+    shared = settle(postings.join(again, F.col("key") == F.col("k")).drop("k"))
     least = [
         F.min(F.struct(F.xxhash64(F.lit(o), seed, "node").alias("h"), F.col("node").alias("rep"), F.col("at").alias("rep_at"))).alias(f"r{o}")
         for o in range(ORDERS)
     ]
-    lists = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *least).where("lo <> hi")
+    lists = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *least).where("lo <> hi")
     reps = lists.select(F.col("key").alias("k"), F.array_distinct(F.array(*[F.col(f"r{o}") for o in range(ORDERS)])).alias("reps"))
-    joined = postings.join(reps, F.col("key") == F.col("k")).select("node", "at", F.explode("reps").alias("r"))
+    joined = shared.join(reps, F.col("key") == F.col("k")).select("node", "at", F.explode("reps").alias("r"))
     return joined.select("node", "at", "r.rep", "r.rep_at").where("node <> rep")
