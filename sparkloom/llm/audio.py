@@ -21,8 +21,10 @@ FRAME = 256
 HOP = 64
 #: Frames that one packed integer looks at.
 SPAN = 8
-#: Recordings align if at the best offset they overlap by so many integers with at most this share of differing bits.
+#: Recordings align if at the best offset they overlap by so many integers, and by this share of the
+#: shorter one, with at most so large a share of differing bits.
 LEAST_OVERLAP = 8
+LEAST_SHARE = 0.5
 MOST_ERRORS = 0.25
 LEAST_VOTES = 2
 _CLASSES = 12
@@ -146,23 +148,24 @@ def _landmarks(nodes: DataFrame) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """Adds ``overlap`` and ``errors`` (share of differing bits) of a and b when b starts ``shift`` integers after a."""
+    """Adds ``overlap``, ``shorter`` (the length of the shorter one) and ``errors`` (share of differing bits) of a and b when b starts ``shift`` integers after a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                overlap, errors = [], []
+                overlap, shorter, errors = [], [], []
                 for x, y, s in zip(*(part.column(j).to_pylist() for j in (4, 5, 2))):
                     x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                    shorter.append(min(len(x), len(y)))
                     x, y = (x[s:], y) if s >= 0 else (x, y[-s:])
                     n = min(len(x), len(y))
                     overlap.append(n)
                     errors.append(float(np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)) if n else 1.0)
-                columns = [*part.columns[:4], pa.array(overlap, pa.int32()), pa.array(errors, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shift", "votes", "overlap", "errors"])
+                columns = [*part.columns[:4], pa.array(overlap, pa.int32()), pa.array(shorter, pa.int32()), pa.array(errors, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shift", "votes", "overlap", "shorter", "errors"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, overlap int, errors double")
+    return pairs.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, overlap int, shorter int, errors double")
 
 
 def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFrame:
@@ -188,7 +191,7 @@ def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFr
     best = best.select("a", "b", (-F.col("m.back")).cast("int").alias("shift"), F.col("m.votes").alias("votes")).where(F.col("votes") >= LEAST_VOTES)
     left, right = (nodes.select(F.col("cls").alias(c), F.col("prints").alias(p)) for c, p in (("ca", "pa"), ("cb", "pb")))
     both = best.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb")).select("a", "b", "shift", "votes", "pa", "pb")
-    links = settle(_aligned(both).where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("errors") <= MOST_ERRORS)))
+    links = settle(_aligned(both).where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("overlap") >= LEAST_SHARE * F.col("shorter")) & (F.col("errors") <= MOST_ERRORS)))
     roots = connected_components(links.select("a", "b"))
     rooted = nodes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     rooted = settle(rooted)

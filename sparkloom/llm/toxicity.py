@@ -199,7 +199,7 @@ class ToxicityModel:
 
         def quoted(start: int, end: int) -> float:
             """1 between two quotation marks that stand close by, a half after a verb of saying."""
-            before, after = marks[(marks < start) & (marks > start - 200)], marks[(marks >= end) & (marks < end + 200)]
+            before, after = marks[(marks <= start) & (marks > start - 200)], marks[(marks > start) & (marks < end + 200)]
             if len(before) % 2 and len(after):
                 return 1.0
             return 0.5 if len(reports) and ((reports < start) & (reports > start - 60)).any() else 0.0
