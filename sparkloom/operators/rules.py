@@ -36,6 +36,9 @@ def hits(df: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
         )
         for i, r in enumerate(rules)
     ]
+    if not found:
+        none = F.array().cast("array<struct<ordinal:int,name:string,severity:string,advice:string,fixable:boolean>>")
+        return df.select(*keys, F.explode(none).alias("hit")).select(*keys, "hit.*")
     return df.select(*keys, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("hit")).select(*keys, "hit.*")
 
 

@@ -152,7 +152,7 @@ def _usages(tokens: list[Token]) -> list[tuple[str, str]]:
             heritage = True
         elif t.text == "{":
             heritage = in_type = False
-        elif t.kind == OPERATOR and t.text in (":", "<") and (t.text == "<" or i and tokens[i - 1].kind == NAME or before in (")", "]", "?")):
+        elif t.kind == OPERATOR and t.text in (":", "<") and (t.text == "<" or i and tokens[i - 1].kind == NAME or before in (")", "]", "}", "?")):
             in_type = t.text == ":" and not _in_object(tokens, i)
         elif t.kind == OPERATOR and t.text in (",", ";", "=", ")", "=>", "}"):
             in_type = False
