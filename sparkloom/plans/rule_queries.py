@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.numeric import half_up
-from sparkloom.functions.text import IDENTIFIER, severity_rank  # noqa: F401
 from sparkloom.functions import metrics
+from sparkloom.functions.numeric import half_up
+from sparkloom.functions.text import severity_rank
 from sparkloom.operators import cohesion, rules
 from sparkloom.operators.joins import ranked
 from sparkloom.plans.metric_queries import KINDS, kind_of

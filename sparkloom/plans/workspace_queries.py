@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text as text_functions
-from sparkloom.functions.metrics import lookup  # noqa: F401
 from sparkloom.operators import incremental, workspace
 from sparkloom.plans.registry import Registry, table
 from sparkloom.sources import scans
 
 R = Registry(doubles=True)
 
-_CODE = ["export const aux_{0} = 1\nimport x from './pkg{1}'", "export default function load_{0}() {}\nexport class T{1} {}\nimport { a } from \"lib{1}\"", "export { A, B as C } from './mod{1}'\nexport * from './deep{1}'", "const hidden = 2"]
 _CODE_SQL = "CASE page_id % 4 WHEN 0 THEN 'export const aux_' || page_id || ' = 1' || chr(10) || 'import x from ''./pkg' || (page_id % 9) || '''' WHEN 1 THEN 'export default function load_' || page_id || '() {}' || chr(10) || 'export class T' || (page_id % 9) || ' {}' || chr(10) || 'import { a } from \"lib' || (page_id % 9) || '\"' WHEN 2 THEN 'export { A, B as C' || page_id || ' } from ''./mod' || (page_id % 9) || '''' || chr(10) || 'export * from ''./deep' || (page_id % 9) || '''' ELSE 'const hidden = 2' END"
 _FILES_SQL = f"files AS (SELECT page_id, CASE WHEN page_id % 10 = 7 THEN 'src/dist/' ELSE 'src/' END || 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.py' END AS path, {_CODE_SQL} AS text FROM pages)"
 

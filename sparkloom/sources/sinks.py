@@ -21,17 +21,14 @@ def apply_plan(planned: DataFrame, existing: DataFrame, folder: str) -> DataFram
     The rows go through a staging table that must not exist yet, so a run that failed leaves nothing
     half done in it; empty plans and plans of which all exist are errors.
     """
-    status = preflight(planned, existing).cache()
-    try:
-        counts = status.groupBy("status").count().collect()
-        if not counts:
-            raise ValueError("nothing to apply")
-        if all(r["status"] == "skipped" for r in counts):
-            raise ValueError("all files exist")
-        status.where("status = 'created'").select("path", "content").write.mode("errorifexists").parquet(folder)
-        return status.sparkSession.createDataFrame(status.select("path", "status").collect(), "path string, status string") if status.count() <= 10_000 else status.select("path", "status")
-    finally:
-        status.unpersist()
+    status = preflight(planned, existing)
+    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+    if not counts:
+        raise ValueError("nothing to apply")
+    if "created" not in counts:
+        raise ValueError("all files exist")
+    status.where("status = 'created'").select("path", "content").write.mode("errorifexists").parquet(folder)
+    return status.select("path", "status")
 
 
 def diagnostics(hits: DataFrame, regions: DataFrame) -> DataFrame:
