@@ -5,7 +5,7 @@ and t tokens it is expected to bring t * x * p tokens to each domain. Rates mini
 distance of the domains' shares from the targets, plus ``ridge`` times half the token-weighted squared
 distance of the rates from 1, under lower and upper bounds, by accelerated projected gradient: each
 round is one distributed sum per domain, and only those few sums reach the driver. A document's rate
-follows from its posterior and the past rounds' sums, so no round has to be stored.
+follows from its posterior and the past rounds' sums, so rows that were not stored can be rated too.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import crc_mod, settle, table
+from sparkloom.llm.common import settle, table
 from sparkloom.llm.learning import SAMPLE_ROWS, labelled_sample, score_column
 from sparkloom.llm.quality import DocumentClassifier
 
@@ -71,31 +71,39 @@ def _rate(posterior: Column, past: list[tuple[list[float], float]], ridge: float
 
 def fit_rates(
     rows: DataFrame, targets: list[float], ridge: float = 0.01, low: float = 0.0, high: float = 4.0, total: float = 1.0, rounds: int = 25, enough: float = 1e-4
-) -> tuple[list[tuple[list[float], float]], list[float], list[float]]:
-    """Past of the rounds (for ``_rate``), shares at rate 1 and at the fitted rates; rows has ``posterior`` and ``tokens``."""
+) -> tuple[DataFrame, list[tuple[list[float], float]], list[float], list[float]]:
+    """rows with ``rate``; the past of the rounds (for ``_rate``); shares at rate 1 and at the fitted rates.
+
+    rows has ``posterior`` and ``tokens``. Rates are carried along as columns and stored every few rounds.
+    """
     k = len(targets)
     wish = total * np.array(targets, float) / sum(targets)
     tokens = rows.agg(F.sum("tokens")).first()[0] or 0
 
-    def shares(rate: Column) -> np.ndarray:
-        sums = [F.sum(F.col("tokens") * rate * F.col("posterior")[i]) for i in range(k)]
-        return np.array([float(v or 0.0) for v in rows.agg(*sums).first()]) / max(1, tokens)
+    def shares(of: DataFrame, rate: str) -> np.ndarray:
+        sums = [F.sum(F.col("tokens") * F.col(rate) * F.col("posterior")[i]) for i in range(k)]
+        return np.array([float(v or 0.0) for v in of.agg(*sums).first()]) / max(1, tokens)
 
     past: list[tuple[list[float], float]] = []
-    first = shares(F.lit(1.0))
-    now, t = first, 1.0
+    state = rows.withColumn("__x", F.lit(1.0)).withColumn("__y", F.lit(1.0))
     if not tokens:
-        return past, [0.0] * k, [0.0] * k
-    residual = now - wish
-    for _ in range(rounds):
+        return state.withColumnRenamed("__x", "rate").drop("__y"), past, [0.0] * k, [0.0] * k
+    first = shares(state, "__y")
+    t, step, residual = 1.0, 1 / (1 + ridge), first - wish
+    for n in range(1, rounds + 1):
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         past.append((residual.tolist(), (t - 1) / after))
-        t = after
-        x, y = _rate(F.col("posterior"), past, ridge, low, high)
-        before, residual = residual, shares(y) - wish
+        dot = sum((F.col("posterior")[i] * float(residual[i]) for i in range(1, k)), F.col("posterior")[0] * float(residual[0]))
+        moved = F.least(F.greatest(F.col("__y") - step * (dot + ridge * (F.col("__y") - 1.0)), F.lit(float(low))), F.lit(float(high)))
+        state = state.withColumn("__new", moved).withColumn("__y", F.col("__new") + past[-1][1] * (F.col("__new") - F.col("__x")))
+        state = state.drop("__x").withColumnRenamed("__new", "__x")
+        if n % 5 == 0:
+            state = settle(state)
+        t, before = after, residual
+        residual = shares(state, "__y") - wish
         if np.abs(residual - before).max() < enough:
             break
-    return past, first.tolist(), shares(_rate(F.col("posterior"), past, ridge, low, high)[0]).tolist()
+    return state.withColumnRenamed("__x", "rate").drop("__y"), past, first.tolist(), shares(state, "__x").tolist()
 
 
 def mix(
@@ -121,8 +129,8 @@ def mix(
     scored = with_posteriors(df, model, text_column).select(*[c for c in keep if c not in ("posterior", "tokens")], "posterior", "tokens")
     whole = text_column in keep
     small = settle(scored.select("posterior", "tokens") if whole else scored)
-    past, before, after = fit_rates(small, list(targets.values()), ridge, low, high, total)
-    rated = (scored if whole else small).withColumn("rate", _rate(F.col("posterior"), past, ridge, low, high)[0])
+    fitted, past, before, after = fit_rates(small, list(targets.values()), ridge, low, high, total)
+    rated = scored.withColumn("rate", _rate(F.col("posterior"), past, ridge, low, high)[0]) if whole else fitted
     return Mixture(rated, list(targets), before, after, len(past))
 
 
