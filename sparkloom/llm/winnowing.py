@@ -8,7 +8,6 @@ each hit is then extended to the whole windows around it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,10 +221,6 @@ def _scan(sent, names: list[str], text_column: str, window: int):
     return run
 
 
-def digest_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside ten-word passages of the benchmark, and the items they come from.
 
