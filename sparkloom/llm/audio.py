@@ -27,6 +27,8 @@ LEAST_OVERLAP = 8
 LEAST_SHARE = 0.5
 MOST_ERRORS = 0.25
 LEAST_VOTES = 2
+#: A landmark is two integers so far apart: neighbours look at nearly the same frames, and would often agree by chance.
+APART = 6
 _CLASSES = 12
 
 
@@ -127,7 +129,7 @@ def _fingerprints(df: DataFrame) -> DataFrame:
 
 
 def _landmarks(nodes: DataFrame) -> DataFrame:
-    """(key, node, at): two neighbouring integers from each position on, without runs of the same key (silence, hum)."""
+    """(key, node, at): the integers at each position and APART behind it, without runs of the same key (silence, hum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +138,7 @@ def _landmarks(nodes: DataFrame) -> DataFrame:
                 keys, ats, rows = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
                 for row, data in enumerate(part.column(1).to_pylist()):
                     p = np.frombuffer(data, np.uint32).astype(np.uint64)
-                    key = (p[:-1] << np.uint64(32)) | p[1:]
+                    key = (p[:-APART] << np.uint64(32)) | p[APART:]
                     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
                     keys.append(key[at].view(np.int64))
                     ats.append(at.astype(np.int32))
@@ -148,24 +150,22 @@ def _landmarks(nodes: DataFrame) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """Adds ``overlap``, ``shorter`` (the length of the shorter one) and ``errors`` (share of differing bits) of a and b when b starts ``shift`` integers after a."""
+    """Adds ``errors``: the share of differing bits where a and b overlap when b starts ``shift`` integers after a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                overlap, shorter, errors = [], [], []
+                errors = []
                 for x, y, s in zip(*(part.column(j).to_pylist() for j in (4, 5, 2))):
                     x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                    shorter.append(min(len(x), len(y)))
                     x, y = (x[s:], y) if s >= 0 else (x, y[-s:])
                     n = min(len(x), len(y))
-                    overlap.append(n)
                     errors.append(float(np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)) if n else 1.0)
-                columns = [*part.columns[:4], pa.array(overlap, pa.int32()), pa.array(shorter, pa.int32()), pa.array(errors, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shift", "votes", "overlap", "shorter", "errors"])
+                columns = [*part.columns[:4], pa.array(errors, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shift", "votes", "errors"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, overlap int, shorter int, errors double")
+    return pairs.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, errors double")
 
 
 def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFrame:
@@ -174,14 +174,14 @@ def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFr
     Rows of equal fingerprints are one class. Classes that share landmarks vote for offsets; the offset
     with most votes (the smallest of equals) is verified by overlap and bit errors, and what aligns is
     connected. n_links counts a class's verified alignments, shift and errors are those of its best
-    one, null without. Landmarks shared by many are met through representatives, so the work is linear
+    one, null without. Landmarks shared by many are met through two representatives, so the work is linear
     in the fingerprints. Nulls, empty and too short audio have no fingerprint: they are one class, by
     the digest of nothing, and are each their own recording. A null id is larger than any other.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(audio_column).alias("audio"))
     prints = settle(_fingerprints(rows))
     nodes = settle(prints.where(F.octet_length("prints") > 0).groupBy("cls").agg(F.min("id").alias("least"), F.first("prints").alias("prints")))
-    votes = posting_links(_landmarks(nodes))
+    votes = posting_links(_landmarks(nodes), orders=2)
     turned = F.col("node") > F.col("rep")
     votes = votes.select(
         F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"), F.when(turned, F.col("rep_at") - F.col("at")).otherwise(F.col("at") - F.col("rep_at")).alias("shift")
@@ -189,9 +189,15 @@ def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFr
     histogram = votes.groupBy("a", "b", "shift").agg(F.count("*").alias("votes"))
     best = histogram.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.col("shift")).alias("back"))).alias("m"))
     best = best.select("a", "b", (-F.col("m.back")).cast("int").alias("shift"), F.col("m.votes").alias("votes")).where(F.col("votes") >= LEAST_VOTES)
+    # The overlap follows from the lengths, so only pairs that overlap enough are looked at bit by bit.
+    length = (F.octet_length("prints") / 4).cast("int")
+    na, nb = (nodes.select(F.col("cls").alias(c), length.alias(n)) for c, n in (("ca", "la"), ("cb", "lb")))
+    sized = best.join(na, F.col("a") == F.col("ca")).join(nb, F.col("b") == F.col("cb"))
+    overlap = F.when(F.col("shift") >= 0, F.least(F.col("la") - F.col("shift"), F.col("lb"))).otherwise(F.least(F.col("la"), F.col("lb") + F.col("shift")))
+    best = sized.where((overlap >= LEAST_OVERLAP) & (overlap >= LEAST_SHARE * F.least("la", "lb"))).select("a", "b", "shift", "votes")
     left, right = (nodes.select(F.col("cls").alias(c), F.col("prints").alias(p)) for c, p in (("ca", "pa"), ("cb", "pb")))
     both = best.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb")).select("a", "b", "shift", "votes", "pa", "pb")
-    links = settle(_aligned(both).where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("overlap") >= LEAST_SHARE * F.col("shorter")) & (F.col("errors") <= MOST_ERRORS)))
+    links = settle(_aligned(both).where(F.col("errors") <= MOST_ERRORS))
     roots = connected_components(links.select("a", "b"))
     rooted = nodes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     rooted = settle(rooted)

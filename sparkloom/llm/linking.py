@@ -10,11 +10,11 @@ from sparkloom.llm.common import settle
 ORDERS = 4
 
 
-def posting_links(postings: DataFrame, salt: str | None = None) -> DataFrame:
+def posting_links(postings: DataFrame, salt: str | None = None, orders: int = ORDERS) -> DataFrame:
     """(node, at, rep, rep_at): each posting held against representatives of its key's list.
 
     postings has ``key``, ``node``, ``at`` and, if named, an integer column ``salt``. The
-    representatives are the smallest postings under ORDERS hash orders, which depend on the salt, so
+    representatives are the smallest postings under so many hash orders, which depend on the salt, so
     lists that agree in their members need not agree in their representatives. Lists of two are
     thereby held against each other whole; longer ones are connected through several members, never
     pair by pair. Keys are counted first, and only postings of keys that occur again go on. Minima are
@@ -25,9 +25,9 @@ def posting_links(postings: DataFrame, salt: str | None = None) -> DataFrame:
     shared = settle(postings.join(again, F.col("key") == F.col("k")).drop("k"))
     least = [
         F.min(F.struct(F.xxhash64(F.lit(o), seed, "node").alias("h"), F.col("node").alias("rep"), F.col("at").alias("rep_at"))).alias(f"r{o}")
-        for o in range(ORDERS)
+        for o in range(orders)
     ]
     lists = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *least).where("lo <> hi")
-    reps = lists.select(F.col("key").alias("k"), F.array_distinct(F.array(*[F.col(f"r{o}") for o in range(ORDERS)])).alias("reps"))
+    reps = lists.select(F.col("key").alias("k"), F.array_distinct(F.array(*[F.col(f"r{o}") for o in range(orders)])).alias("reps"))
     joined = shared.join(reps, F.col("key") == F.col("k")).select("node", "at", F.explode("reps").alias("r"))
     return joined.select("node", "at", "r.rep", "r.rep_at").where("node <> rep")

@@ -214,7 +214,7 @@ def test_audio_recall_against_brute_force(spark):
 
     def landmarks(p):
         p = p.astype(np.uint64)
-        key = (p[:-1] << np.uint64(32)) | p[1:]
+        key = (p[: -audio.APART] << np.uint64(32)) | p[audio.APART :]
         return [(int(k), i) for i, k in enumerate(key) if not i or k != key[i - 1]]
 
     marks = {i: landmarks(p) for i, p in prints.items()}
