@@ -47,11 +47,12 @@ def merge_suggestions(regions: DataFrame, files: DataFrame, most: int = 3, least
     regions(region, name, kind, used, source_path), files(path, exports, imports, kinds, line_count,
     is_barrel, framework). A file scores 0.25 or more only if something beyond its size speaks for it:
     a common kind, a similar name, a shared symbol or an import of the name. So candidates are found by
-    equality joins on those (kind; used symbol; four-letter pieces of names and specifiers) and only
-    then scored; regions are never crossed with all files.
+    equality joins on those (kind; used symbol; pieces of names and specifiers, of four letters or, as
+    shorter names and exports are compared whole, fewer) and only then scored.
     """
     usable = files.where(~F.col("is_barrel") & (F.col("line_count") <= 2000))
-    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))
+    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    pieces = lambda c: F.flatten(F.transform(starts(c), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.substring(c, i, n))))
     low = F.lower("name")
     keys_r = F.array_distinct(
         F.concat(

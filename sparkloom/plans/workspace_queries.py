@@ -70,7 +70,7 @@ def reexport_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("symbol"), F.concat(F.lit("src/m"), (n % 40).cast("string"), ends).alias("path")
     ).distinct()
     c = F.col("c_custkey")
-    rex = table(spark, sf_dir, "customer").where("c_custkey <= 300").select(
+    rex = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("src/b"), (c % 7).cast("string"), F.lit(".ts")).alias("path"),
         F.when(c % 3 == 0, "*").otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).alias("symbol"),
         F.concat(F.lit("src/m"), (c % 50).cast("string")).alias("base"),
@@ -103,7 +103,7 @@ def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(id_ % 2 == 0, "react").otherwise("none").alias("framework"), "page_id",
     )
     own = F.element_at(F.array(*[F.lit(k) for k in ("hook", "react-component", "class", "utility-function", "enum")]), (id_ % 5 + 1).cast("int"))
-    regions = files.where("page_id % 10 = 0").select(
+    regions = files.select(
         F.col("page_id").alias("region"), F.element_at("exports", 1).alias("name"), own.alias("kind"), F.slice("exports", 2, 4).alias("used"), F.col("path").alias("source_path")
     )
     return workspace.merge_suggestions(regions, files.drop("page_id"))
@@ -114,7 +114,7 @@ _ENTRY_SQL = "e AS (SELECT p_partkey AS ordinal, p_type || '/' || replace(p_name
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat("p_type", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")))
-    return table(spark, sf_dir, "part").where("p_partkey <= 300").select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("ordinal"), F.concat(stem, F.lit(".ts")).alias("file_name"),
         F.concat(F.lit("export { P"), F.col("p_partkey").cast("string"), F.lit(" } from './"), stem, F.lit("';")).alias("entry"),
     )
@@ -271,8 +271,8 @@ def import_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.functions import generate
 
     form = F.element_at(F.array(F.lit("named"), F.lit("default"), F.lit("namespace")), F.col("l_linenumber") % 3 + 1)
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     used = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("region"), F.concat(F.lit("pkg"), (F.col("l_suppkey") % 5).cast("string")).alias("specifier"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name"), form.alias("form")
     )
