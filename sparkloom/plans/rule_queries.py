@@ -176,7 +176,7 @@ SELECT CAST(cls AS BIGINT) AS cls, methods, lcom4, CASE WHEN methods < 2 THEN 1e
   CASE WHEN methods < 2 THEN 1e0 ELSE floor(same / (methods * (methods - 1) / 2) * 1000 + 0.5e0) / 1000 END AS lcc FROM per LEFT JOIN d USING (cls)""")
 def class_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0").select("l_suppkey", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     touches = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("cls"), F.col("s_suppkey").alias("method"), F.col("l_partkey").alias("member"))
     methods = supplier.select(F.col("s_nationkey").alias("cls"), F.col("s_suppkey").alias("method"))
     found = cohesion.class_cohesion(methods, touches)

@@ -38,3 +38,10 @@ def test_all_rows_count(spark, sql, name):
     assert sorted(want.columns) == columns
     want = sorted(tuple(map(plain, r)) for r in want.project(",".join(f'"{c}"' for c in columns)).fetchall())
     assert sorted(tuple(map(plain, r)) for r in df.select(columns).collect()) == want
+
+
+def test_class_cohesion_counts_all_lines(spark, tmp_path):
+    spark.createDataFrame([(s, 0) for s in range(3)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 1), (1, 1), (2, 20)], "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.QUERIES["class_cohesion"](spark, str(tmp_path)).select("cls", "methods", "lcom4", "tcc", "lcc").collect()
+    assert [tuple(r) for r in found] == [(0, 3, 2, 0.333, 0.333)]
