@@ -136,7 +136,7 @@ def cohesion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"WITH {USAGES_SQL} SELECT CAST(region AS BIGINT) AS region, name FROM decls WHERE exported AND region NOT IN (SELECT t FROM resolved WHERE kind = 'inheritance' AND f % 8 = 0)")
 def dead_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, decls, resolved, _ = _dependencies(spark, sf_dir)
-    return joins.dead_exports(decls, resolved.where("kind = 'inheritance' and f % 8 = 0")).select("region", "name")
+    return joins.dead_exports(decls, resolved.where("kind = 'inheritance'")).select("region", "name")
 
 
 @R.add(f"WITH {USAGES_SQL} SELECT DISTINCT symbol FROM usages WHERE symbol NOT IN (SELECT name FROM decls)")

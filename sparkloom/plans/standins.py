@@ -56,7 +56,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in USAGE_NAMES]), F.col("l_linenumber") % 5 + 1)
-    found = _lines(spark, sf_dir).where("l_quantity = 50")
+    found = _lines(spark, sf_dir)
     return found.select(
         F.lit(0).cast("bigint").alias("file"), F.col("c_nationkey").alias("region"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("symbol"), kind.alias("kind")
     ).distinct()

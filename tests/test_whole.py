@@ -9,6 +9,7 @@ from sparkloom.plans import catalogue
 from tests.test_entry import plain
 
 FOLDER = os.environ.get("TEST_WHOLE_DIR", "/root/testdata/sf0.01")
+USAGES = ["dependency_edges", "external_coupling", "coupling_scores", "cohesion_scores", "dead_exports", "file_linkage", "symbol_routes", "exported_symbols", "imported_symbols", "external_packages", "inline_types"]
 #: What the SQL of each query leaves out, as it is written there.
 CUTS = {
     "import_statements": [" WHERE o_orderkey < 2000"],
@@ -16,6 +17,7 @@ CUTS = {
     "barrel_additions": [" WHERE p_partkey <= 300"],
     "reexport_hop": [" WHERE c_custkey <= 300"],
     "merge_suggestions": [" WHERE page_id % 10 = 0"],
+    **dict.fromkeys(USAGES, [" WHERE l_quantity = 50", "f % 3 = 0 AND ", " WHERE f % 3 = 0", " WHERE region % 3 = 0", " AND u.region % 3 = 0", " AND f % 8 = 0"]),
 }
 
 
