@@ -166,6 +166,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "n", "id"]
 
 
+def kept_firsts(spark, pairs):
+    kept = near_dups.keep_representatives(docs_of(spark, [" ".join(w) for pair in pairs for w in pair]))
+    return sorted(r.doc_id for r in kept.collect()) == list(range(0, 2 * len(pairs), 2))
+
+
+def test_near_duplicates_in_lists_of_a_common_passage(spark):
+    passage, pairs = [f"p{i}" for i in range(164)], []
+    for i in range(150):
+        own = [f"o{i}_{j}" for j in range(40)]
+        pairs.append((passage + own, passage + own[:20] + [f"x{i}_{j}" for j in range(20)]))
+    assert kept_firsts(spark, pairs)
+
+
+def test_near_duplicates_of_few_shingles(spark):
+    texts = [[f"w{i}_{j}" for j in range(9)] for i in range(400)]
+    assert kept_firsts(spark, [(t, t[:8]) for t in texts])
+
+
 def test_one_of_repeated_rows_and_null_ids_stays(spark):
     df = docs_of(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "other words here", "lonely"], [3, 3, 9, None, None])
     kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in near_dups.keep_representatives(df).collect()))
