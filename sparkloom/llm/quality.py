@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ class _Ids(dict):
 
 def _index_vector(term: str) -> np.ndarray:
     """A sparse vector of a few +1 and -1, fixed by the term."""
-    seed = int.from_bytes(term.encode("utf-8", "surrogatepass")[:64], "little") % 2**64
+    seed = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
     out = np.zeros(DIMENSIONS)
     for i in range(NONZERO):
         z = splitmix((seed ^ splitmix(i)) % 2**64)

@@ -96,6 +96,11 @@ def test_quality(spark, tables):
     assert np.mean([r.predicted == labels[r.doc_id][0] for r in test]) > 0.95
 
 
+def test_index_vectors_depend_on_the_whole_term():
+    for terms in (["constitution", "constitutive"], ["правда", "правило"]):
+        assert len({quality._index_vector(t).tobytes() for t in terms}) == 2
+
+
 def test_language(spark, tables):
     folder, _, n = tables
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
