@@ -133,7 +133,7 @@ def cohesion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("cohesion", joins.cohesion(F.col("used"), F.col("bound")))
 
 
-@R.add(f"WITH {USAGES_SQL} SELECT CAST(region AS BIGINT) AS region, name FROM decls WHERE exported AND region NOT IN (SELECT t FROM resolved WHERE kind = 'inheritance' AND f % 8 = 0)")
+@R.add(f"WITH {USAGES_SQL} SELECT CAST(region AS BIGINT) AS region, name FROM decls WHERE exported AND region NOT IN (SELECT t FROM resolved WHERE kind = 'inheritance')")
 def dead_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, decls, resolved, _ = _dependencies(spark, sf_dir)
     return joins.dead_exports(decls, resolved.where("kind = 'inheritance'")).select("region", "name")

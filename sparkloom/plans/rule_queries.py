@@ -163,8 +163,8 @@ def repeated_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.repeated_fragments(lines, "doc_id", "i", "line")
 
 
-_TOUCH_SQL = """touches AS (SELECT DISTINCT n_nationkey AS cls, s_suppkey AS method, l_partkey AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE l_partkey % 20 = 0), methods AS (SELECT s_nationkey AS cls, s_suppkey AS method FROM supplier)"""
+_TOUCH_SQL = """touches AS (SELECT DISTINCT n_nationkey AS cls, s_suppkey AS method, l_partkey AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+  methods AS (SELECT s_nationkey AS cls, s_suppkey AS method FROM supplier)"""
 
 
 @R.add(f"""WITH RECURSIVE {_TOUCH_SQL},

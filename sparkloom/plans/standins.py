@@ -24,7 +24,7 @@ edges AS (SELECT f, t FROM (SELECT f, t, row_number() OVER (PARTITION BY f ORDER
 USAGES_SQL = """
 usages AS (SELECT DISTINCT CAST(0 AS BIGINT) AS file, c_nationkey AS region, 'NATION_' || s_nationkey AS symbol,
    ['call', 'type', 'reexport', 'inheritance', 'reference'][l_linenumber % 5 + 1] AS kind
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 bindings AS (SELECT DISTINCT file, region, symbol FROM usages WHERE (region * 7 + CAST(substr(symbol, 8) AS INT)) % 11 = 0),
 decls AS (SELECT CAST(0 AS BIGINT) AS file, n_nationkey AS region, n_name AS name,
   ['hook', 'context-provider', 'utility-function', 'type-block', 'class'][n_nationkey % 5 + 1] AS kind, n_nationkey AS ordinal, n_nationkey % 3 = 0 AS exported

@@ -20,27 +20,27 @@ def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return used, bound, decls, standins.imports(spark, sf_dir).withColumn("form", F.when(F.col("line") % 8 == 2, "dynamic").otherwise("named"))
 
 
-@R.add(f"WITH {USAGES_SQL} SELECT CAST(region AS BIGINT) AS region, name FROM decls WHERE region IN (SELECT t FROM resolved WHERE f % 3 = 0 AND kind = 'type')")
+@R.add(f"WITH {USAGES_SQL} SELECT CAST(region AS BIGINT) AS region, name FROM decls WHERE region IN (SELECT t FROM resolved WHERE kind = 'type')")
 def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, bound, decls, _ = _relations(spark, sf_dir)
     return symbols.exported_symbols(decls, joins.resolve_usages(used.where("kind = 'type'"), bound, decls)).select("region", "name")
 
 
-@R.add(f"""WITH {USAGES_SQL} SELECT CAST(f AS BIGINT) AS region, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbols FROM resolved WHERE f % 3 = 0 GROUP BY f""")
+@R.add(f"""WITH {USAGES_SQL} SELECT CAST(f AS BIGINT) AS region, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbols FROM resolved GROUP BY f""")
 def imported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, bound, decls, _ = _relations(spark, sf_dir)
     return symbols.imported_symbols(used, bound, decls).select("region", F.array_join("symbols", ",").alias("symbols"))
 
 
 @R.add(f"""WITH {USAGES_SQL}, s AS (SELECT alias, arg_min(specifier, line) AS specifier FROM imports WHERE line % 8 <> 2 GROUP BY alias)
-SELECT CAST(region AS BIGINT) AS region, array_to_string(list_sort(list(DISTINCT specifier)), ',') AS packages FROM usages JOIN s ON symbol = alias WHERE region % 3 = 0 GROUP BY region""")
+SELECT CAST(region AS BIGINT) AS region, array_to_string(list_sort(list(DISTINCT specifier)), ',') AS packages FROM usages JOIN s ON symbol = alias GROUP BY region""")
 def external_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, _, _, imports = _relations(spark, sf_dir)
     return symbols.external_packages(used, imports).select("region", F.array_join("packages", ",").alias("packages"))
 
 
 @R.add(f"""WITH {USAGES_SQL} SELECT CAST(u.region AS BIGINT) AS region, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS types FROM usages u JOIN decls d ON u.symbol = d.name
-WHERE d.kind = 'type-block' AND u.region % 3 = 0 GROUP BY u.region""")
+WHERE d.kind = 'type-block' GROUP BY u.region""")
 def inline_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, _, decls, _ = _relations(spark, sf_dir)
     return symbols.inline_types(used, decls).select("region", F.array_join("types", ",").alias("types"))

@@ -56,7 +56,7 @@ def reexport_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXP_SQL = """exporters AS (SELECT DISTINCT 'NATION_' || s_nationkey AS symbol, 'src/m' || (s_suppkey % 40) || CASE s_suppkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.jsx' END AS path FROM supplier),
-rex AS (SELECT 'src/b' || (c_custkey % 7) || '.ts' AS path, CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE 'NATION_' || c_nationkey END AS symbol, 'src/m' || (c_custkey % 50) AS base FROM customer WHERE c_custkey <= 300),
+rex AS (SELECT 'src/b' || (c_custkey % 7) || '.ts' AS path, CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE 'NATION_' || c_nationkey END AS symbol, 'src/m' || (c_custkey % 50) AS base FROM customer),
 cand AS (SELECT base, i, base || sfx AS p FROM (SELECT DISTINCT base FROM rex), (SELECT unnest(['.ts', '.tsx', '.js', '.jsx', '.mts', '.cts', '/index.ts', '/index.js', '']) AS sfx, unnest(range(1, 10)) AS i)),
 res AS (SELECT base, arg_min(p, i) AS resolved FROM cand JOIN (SELECT DISTINCT path FROM exporters) ON p = path GROUP BY base)"""
 
@@ -82,7 +82,7 @@ _MERGE_SQL = """
 f AS (SELECT 'w' || page_id AS path, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS exports, regexp_extract_all(html, '<a href="/([^"]{4,6})"', 1) AS imports,
   [['hook', 'class'], ['react-component'], ['utility-function']][CAST(page_id % 3 AS INT) + 1] AS kinds, page_id % 120 AS line_count, page_id % 11 = 0 AS is_barrel,
   CASE WHEN page_id % 2 = 0 THEN 'react' ELSE 'none' END AS framework, page_id FROM pages),
-r AS (SELECT page_id AS region, exports[1] AS name, ['hook', 'react-component', 'class', 'utility-function', 'enum'][CAST(page_id % 5 AS INT) + 1] AS kind, exports[2:5] AS used, path AS source_path FROM f WHERE page_id % 10 = 0),
+r AS (SELECT page_id AS region, exports[1] AS name, ['hook', 'react-component', 'class', 'utility-function', 'enum'][CAST(page_id % 5 AS INT) + 1] AS kind, exports[2:5] AS used, path AS source_path FROM f),
 p AS (SELECT region, path, name, used, f.exports, line_count, list_contains(kinds, kind) AS sk,
   len(list_filter(f.exports, lambda e: contains(lower(e), lower(name)[1:4]) OR contains(lower(name), lower(e)[1:4]))) > 0 AS nm,
   len(list_intersect(used, f.exports)) AS shared, kind IN ('hook', 'react-component') AND framework = 'react' AS fw,
@@ -109,7 +109,7 @@ def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.merge_suggestions(regions, files.drop("page_id"))
 
 
-_ENTRY_SQL = "e AS (SELECT p_partkey AS ordinal, p_type || '/' || replace(p_name, ' ', '-') || '.ts' AS file_name, 'export { P' || p_partkey || ' } from ''./' || p_type || '/' || replace(p_name, ' ', '-') || ''';' AS entry FROM part WHERE p_partkey <= 300)"
+_ENTRY_SQL = "e AS (SELECT p_partkey AS ordinal, p_type || '/' || replace(p_name, ' ', '-') || '.ts' AS file_name, 'export { P' || p_partkey || ' } from ''./' || p_type || '/' || replace(p_name, ' ', '-') || ''';' AS entry FROM part)"
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +264,7 @@ def generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""WITH i AS (SELECT o_orderkey AS region, 'pkg' || (l_suppkey % 5) AS specifier, 'n' || l_partkey AS name, CASE l_linenumber % 3 WHEN 0 THEN 'named' WHEN 1 THEN 'default' ELSE 'namespace' END AS form
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 2000),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 g AS (SELECT region, specifier, min(CASE WHEN form = 'default' THEN name END) AS d, min(CASE WHEN form = 'namespace' THEN name END) AS ns, string_agg(DISTINCT CASE WHEN form = 'named' THEN name END, ', ' ORDER BY CASE WHEN form = 'named' THEN name END) AS nm FROM i GROUP BY ALL)
 SELECT region, 'import ' || concat_ws(', ', d, '* as ' || ns, '{ ' || nm || ' }') || ' from ''' || specifier || ''';' AS statement FROM g""")
 def import_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
