@@ -1,33 +1,83 @@
-"""Links between the members of posting lists, linear in their length."""
+"""Links between the members of posting lists: representatives first, then whatever they have not connected."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import settle
 
-ORDERS = 4
+ORDERS = 2
+#: Members of a list that are held against each other in one cell of a join.
+BLOCK = 512
+#: A class is crowded if it holds more than this share of the rows; there are at most 1 / CROWDED of them.
+CROWDED = 0.001
 
 
-def posting_links(postings: DataFrame, salt: str | None = None, orders: int = ORDERS) -> DataFrame:
-    """(node, at, rep, rep_at): each posting held against representatives of its key's list.
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """The postings (key, node, ...) of keys that occur under two nodes or more, stored.
 
-    postings has ``key``, ``node``, ``at`` and, if named, an integer column ``salt``. The
-    representatives are the smallest postings under so many hash orders, which depend on the salt, so
-    lists that agree in their members need not agree in their representatives. Lists of two are
-    thereby held against each other whole; longer ones are connected through several members, never
-    pair by pair. Keys are counted first, and only postings of keys that occur again go on. Minima are
-    aggregated before the shuffle, and the joins by key are ones that AQE can split.
+    Keys are counted before the postings travel, and by far the most occur once. A key that repeats
+    under one node only passes the count and is dropped by the second look at what is left.
     """
-    seed = F.lit(0) if salt is None else F.col(salt)
     again = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    shared = settle(postings.join(again, F.col("key") == F.col("k")).drop("k"))
-    least = [
-        F.min(F.struct(F.xxhash64(F.lit(o), seed, "node").alias("h"), F.col("node").alias("rep"), F.col("at").alias("rep_at"))).alias(f"r{o}")
-        for o in range(orders)
-    ]
-    lists = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *least).where("lo <> hi")
+    often = settle(postings.join(again, F.col("key") == F.col("k")).drop("k").distinct())
+    several = often.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    return often.join(several, F.col("key") == F.col("k")).drop("k")
+
+
+def representative_pairs(shared: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """(node, at, rep, rep_at): each posting held against the smallest of its key's list under so many hash orders.
+
+    Linear in the postings. Members of a list that meet only each other are left to ``cross_pairs``.
+    Minima are aggregated before the shuffle, and the join by key is one that AQE can split.
+    """
+    least = [F.min(F.struct(F.xxhash64(F.lit(o), "node").alias("h"), F.col("node").alias("rep"), F.col("at").alias("rep_at"))).alias(f"r{o}") for o in range(orders)]
+    lists = shared.groupBy("key").agg(*least)
     reps = lists.select(F.col("key").alias("k"), F.array_distinct(F.array(*[F.col(f"r{o}") for o in range(orders)])).alias("reps"))
     joined = shared.join(reps, F.col("key") == F.col("k")).select("node", "at", F.explode("reps").alias("r"))
     return joined.select("node", "at", "r.rep", "r.rep_at").where("node <> rep")
+
+
+def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared with ``root``, the component of each node (itself without links), less the lists that lie in one component."""
+    ends = roots.select(F.col("node").alias("__end"), "root")
+    members = settle(shared.join(ends, F.col("node") == F.col("__end"), "left").withColumn("root", F.coalesce("root", "node")).drop("__end"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return members.join(mixed.select(F.col("key").alias("k"), "size"), F.col("key") == F.col("k")).drop("k")
+
+
+def cross_pairs(members: DataFrame, columns: list[str], near: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """All pairs of one list and different roots that satisfy ``near``: x_ and y_ of node and of the columns, x_node < y_node.
+
+    members comes from ``with_roots``. No member is left out, however long its list: a list is cut
+    into blocks and each two blocks meet in a cell of their own, so a hot list is many small equal
+    joins. ``near`` is part of the join's condition, so pairs that fail it are never written.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    cut = members.withColumn("blk", F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("key", F.least("blk", "other").alias("c1"), F.greatest("blk", "other").alias("c2"), "blk", "node", "root", *columns)
+    x = cells.select(*[F.col(c).alias(f"x_{c}") for c in cells.columns])
+    y = cells.select(*[F.col(c).alias(f"y_{c}") for c in cells.columns])
+    same_cell = (F.col("x_key") == F.col("y_key")) & (F.col("x_c1") == F.col("y_c1")) & (F.col("x_c2") == F.col("y_c2"))
+    once = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & ((F.col("x_blk") != F.col("y_blk")) | (F.col("x_c1") == F.col("x_c2")))
+    on = same_cell & once if near is None else same_cell & once & near
+    return x.join(y, on).select(*[f"{s}_{c}" for s in ("x", "y") for c in ("node", *columns)])
+
+
+def attach(rows: DataFrame, key: str, classes: DataFrame, class_key: str, n_rows: str, total: int) -> DataFrame:
+    """rows with the columns of their class; every row's class must be there, under one row.
+
+    ``n_rows`` of classes says how many rows a class has. Of the classes with more than CROWDED of the
+    total there are at most 1 / CROWDED, so those are broadcast and their rows are not dealt by key;
+    the others are joined by a shuffle in which no key is hot.
+    """
+    crowded = F.col(n_rows) > CROWDED * total
+    names = [c for c in classes.columns if c not in (class_key, n_rows)]
+    known = classes.withColumnRenamed(class_key, "__class")
+    few = F.broadcast(known.where(crowded).select("__class", F.struct(*names).alias("__found")))
+    met = rows.join(few, F.col(key) == F.col("__class"), "left").drop("__class")
+    quick = met.where(F.col("__found").isNotNull()).select(*rows.columns, "__found.*")
+    slow = met.where(F.col("__found").isNull()).drop("__found").join(known.where(~crowded).select("__class", *names), F.col(key) == F.col("__class")).drop("__class")
+    return quick.unionByName(slow.select(*rows.columns, *names))

@@ -208,33 +208,72 @@ def test_audio_alignment(spark):
     assert [found[i].recording for i in (13, 14, 15)] == [13, 14, 15] and found[13].n_prints == 0
 
 
-def test_audio_recall_against_brute_force(spark):
+def best_errors(x, y):
+    """Least share of differing bits over all offsets with enough overlap."""
+    best = 1.0
+    for shift in range(-len(y) + 1, len(x)):
+        u, v = (x[shift:], y) if shift >= 0 else (x, y[-shift:])
+        n = min(len(u), len(v))
+        if n >= max(audio.LEAST_OVERLAP, audio.LEAST_SHARE * min(len(x), len(y))):
+            best = min(best, float(np.bitwise_count(u[:n] ^ v[:n]).sum()) / (32 * n))
+    return best
+
+
+def test_audio_recall_against_all_pairs_at_all_offsets(spark):
+    """Six melodies in 25 noisy cuts each, and one in 50: pairs by bit errors alone, without landmarks or votes."""
     rng = np.random.default_rng(9)
-    base = [melody(rng, 8) for _ in range(6)]
     rows = []
-    for k, s in enumerate(base):
-        for j in range(4):
-            rows.append((10 * k + j, wav(s[j * 3 * audio.HOP :] + rng.normal(0, 5, len(s) - j * 3 * audio.HOP))))
+    for k, n in enumerate([25] * 6 + [50]):
+        s = melody(rng, 6)
+        for j in range(n):
+            cut = s[(j % 6) * 3 * audio.HOP :]
+            rows.append((100 * k + j, wav(cut + rng.normal(0, 3, len(cut)))))
     prints = {i: audio.packed_integers(audio.chroma(audio.decode(d))) for i, d in rows}
-
-    def landmarks(p):
-        p = p.astype(np.uint64)
-        key = (p[: -audio.APART] << np.uint64(32)) | p[audio.APART :]
-        return [(int(k), i) for i, k in enumerate(key) if not i or k != key[i - 1]]
-
-    marks = {i: landmarks(p) for i, p in prints.items()}
-
-    def linked(a, b):
-        votes = Counter(i - j for k, i in marks[a] for m, j in marks[b] if k == m)
-        if not votes or max(votes.values()) < audio.LEAST_VOTES:
-            return False
-        s = min(votes, key=lambda s: (-votes[s], s))
-        x, y = (prints[a][s:], prints[b]) if s >= 0 else (prints[a], prints[b][-s:])
-        n = min(len(x), len(y))
-        return n >= max(audio.LEAST_OVERLAP, audio.LEAST_SHARE * min(len(prints[a]), len(prints[b]))) and np.bitwise_count(x[:n] ^ y[:n]).sum() <= audio.MOST_ERRORS * 32 * n
-
-    from tests.llm.test_exact import components
-
-    want = components(list(prints), linked)
-    found = {r.id: r.recording for r in audio.align_recordings(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
-    assert len(set(want.values())) < len(want) and np.mean([found[i] == want[i] for i in want]) >= 0.9
+    pairs = [(a, b) for n, a in enumerate(prints) for b in list(prints)[:n] if best_errors(prints[a], prints[b]) <= audio.MOST_ERRORS]
+    found = {r.id: r for r in audio.align_recordings(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
+    assert len(pairs) > 2000 and np.mean([found[a].recording == found[b].recording for a, b in pairs]) >= 0.98
+    # Different melodies stay apart.
+    assert all(r.recording // 100 == i // 100 for i, r in found.items())
+    for r in found.values():
+        if r.partner is not None:
+            x, y = (prints[r.id][r.shift :], prints[r.partner]) if r.shift >= 0 else (prints[r.id], prints[r.partner][-r.shift :])
+            n = min(len(x), len(y))
+            assert abs(np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n) - r.errors) < 1e-9
+
+
+def test_audio_recall_on_texts(spark, tmp_path):
+    """Near copies among texts: the pairs within the bound at any offset, by brute force."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = words(rng, "xx", 600)
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(copy))
+                copy[k] = "".join(rng.sample(copy[k], len(copy[k])))
+            texts.append(" ".join(copy))
+    folder = write(spark, tmp_path, documents=docs_of(spark, texts))
+    prints = [audio.packed_integers(audio.chroma(audio.decode(t.encode()))) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if best_errors(prints[a], prints[b]) <= audio.MOST_ERRORS]
+    found = {r.doc_id: r.recording for r in audio.op7_chroma(spark, folder).collect()}
+    assert len(pairs) > 50 and np.mean([found[a] == found[b] for a, b in pairs]) >= 0.9
+
+
+def test_melodies_that_share_an_opening_stay_apart(spark):
+    rng = np.random.default_rng(10)
+    opening = melody(rng, 5)
+    rows = [(i, wav(np.concatenate([opening, melody(rng, 7)]))) for i in range(60)]
+    found = audio.align_recordings(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()
+    assert sum(r.recording != r.id for r in found) <= 2
+
+
+def test_audio_of_empty_tables_and_repeats(spark):
+    rng = np.random.default_rng(4)
+    song = wav(melody(rng, 4))
+    schema = "id bigint, media binary, recording string, partner int"
+    assert audio.align_recordings(spark.createDataFrame([], schema), "id", "media").count() == 0
+    rows = [(5, song, "x", 1), (5, song, "x", 1), (None, song, None, None), (None, None, None, None)]
+    found = audio.align_recordings(spark.createDataFrame(rows, schema), "id", "media").collect()
+    assert sorted((r.id is None, r.n_prints > 0, r.recording) for r in found if r.n_prints) == [(False, True, 5), (False, True, 5), (True, True, 5)]
+    assert [(r.id, r.recording) for r in found if not r.n_prints] == [(None, None)]
