@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import settle, table
 from sparkloom.llm.graph import connected_components
-from sparkloom.llm.linking import attach, cross_pairs, representative_pairs, shared_postings, with_roots
+from sparkloom.llm.linking import attach, in_cells, representative_pairs, shared_postings, with_roots, with_sizes
 
 RATE = 8000
 FRAME = 256
@@ -24,13 +24,19 @@ SPAN = 8
 #: Recordings align if at an offset they overlap by so many integers, by this share of the shorter one, with
 #: at most so large a share of differing bits. Unrelated melodies and texts differ in 0.30 to 0.35 of the bits, and less
 #: than one in 10,000 of their offsets in 0.12 or less. The landmarks find over nine in ten pairs up to this bound, by
-#: comparison at all offsets; of pairs with 0.06 to 0.1 of errors they would find half.
+#: comparison at all offsets; up to 0.06 they would find eight in ten, up to 0.1 less than half.
 LEAST_OVERLAP = 8
 LEAST_SHARE = 0.5
-MOST_ERRORS = 0.06
-#: A landmark is two integers so far apart; the farther, the fewer survive noise, the nearer, the more agree by chance.
-APART = 2
+MOST_ERRORS = 0.04
+#: A landmark is a run of so many integers. Fewer survive more noise and agree more often by chance.
+RUN = 3
+#: Lists up to this length are compared pair by pair as rows, longer ones within a task.
+SHORT_LIST = 8
+#: Integers on either side of a landmark that go with it where long lists are compared, and how many bits may differ there.
+AROUND = 256
+MOST_ERRORS_AROUND = 0.12
 _CLASSES = 12
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pitch_map() -> np.ndarray:
@@ -130,7 +136,7 @@ def _fingerprints(df: DataFrame) -> DataFrame:
 
 
 def _landmarks(nodes: DataFrame) -> DataFrame:
-    """(key, node, at): the integers at each position and APART behind it, without runs of the same key (silence, hum)."""
+    """(key, node, at): a digest of the RUN integers from each position on, without runs of the same key (silence, hum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +145,10 @@ def _landmarks(nodes: DataFrame) -> DataFrame:
                 keys, ats, rows = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
                 for row, data in enumerate(part.column(1).to_pylist()):
                     p = np.frombuffer(data, np.uint32).astype(np.uint64)
-                    key = (p[:-APART] << np.uint64(32)) | p[APART:]
+                    key = np.zeros(max(0, len(p) - RUN + 1), np.uint64)
+                    for j in range(RUN):
+                        key = (key ^ p[j : j + len(key)]) * _ODD
+                        key ^= key >> np.uint64(29)
                     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
                     keys.append(key[at].view(np.int64))
                     ats.append(at.astype(np.int32))
@@ -176,10 +185,104 @@ def _overlaps_enough(shift: Column, na: Column, nb: Column) -> Column:
 
 
 def _aligned(offsets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, shift, votes, errors) of the offsets (a, b, shift, votes) at which two classes do align, stored."""
+    """(a, b, shift, votes, errors) of the offsets (a, b, shift, votes) at which two classes do align."""
     left, right = (nodes.select(F.col("cls").alias(c), F.col("prints").alias(p)) for c, p in (("ca", "pa"), ("cb", "pb")))
     both = offsets.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb")).select("a", "b", "shift", "votes", "pa", "pb")
-    return settle(_bit_errors(both).where(F.col("errors") <= MOST_ERRORS))
+    return _bit_errors(both).where(F.col("errors") <= MOST_ERRORS)
+
+
+def _cell_links(blk: np.ndarray, node: np.ndarray, root: np.ndarray, at: np.ndarray, n: np.ndarray, first: np.ndarray, prints: list[bytes], both: bool) -> list[tuple]:
+    """(a, b, shift, errors, sure) among the members of a cell: enough sure links to connect what aligns, and all unsure ones.
+
+    A member has the integers from ``first`` on; if they hold the whole overlap of two members, their
+    errors are known, else only those around their landmark. ``both``: only members of different blocks meet.
+    """
+    m = len(node)
+    have = np.array([len(p) // 4 for p in prints])
+    before = at - first
+    lead, width = int(before.max()), int((have - before).max())
+    bits = np.zeros((m, lead + width), np.uint32)
+    lo, hi = lead - before, lead - before + have
+    for row, p, a, b in zip(bits, prints, lo, hi):
+        row[a:b] = np.frombuffer(p, np.uint32)
+    label = root.copy()
+    out = []
+    for x in range(m - 1):
+        y = np.arange(x + 1, m)
+        fit = (label[y] != label[x]) & (node[y] != node[x])
+        if both:
+            fit &= blk[y] != blk[x]
+        # Where the overlap begins and ends, counted from the landmark, for whole recordings.
+        begin, end = -np.minimum(at[x], at[y]), np.minimum(n[x] - at[x], n[y] - at[y])
+        overlap = end - begin
+        fit &= (overlap >= LEAST_OVERLAP) & (overlap >= LEAST_SHARE * np.minimum(n[x], n[y]))
+        y, begin, end = y[fit], begin[fit], end[fit]
+        if not len(y):
+            continue
+        u, v = np.maximum(lo[x], lo[y]), np.minimum(hi[x], hi[y])
+        wrong = np.bitwise_count(bits[y, lo[x] : hi[x]] ^ bits[x, lo[x] : hi[x]])
+        inside = np.arange(lo[x], hi[x])
+        wrong[(inside < u[:, None]) | (inside >= v[:, None])] = 0
+        errors = wrong.sum(1, dtype=np.int64) / (32 * (v - u))
+        sure = (u - lead == begin) & (v - lead == end)
+        for i in np.flatnonzero(errors <= np.where(sure, MOST_ERRORS, MOST_ERRORS_AROUND)):
+            a, b, shift = int(node[x]), int(node[y[i]]), int(at[x] - at[y[i]])
+            if sure[i]:
+                if label[y[i]] == label[x]:
+                    continue
+                label[label == label[y[i]]] = label[x]
+            out.append((a, b, shift, float(errors[i]), bool(sure[i])) if a < b else (b, a, -shift, float(errors[i]), bool(sure[i])))
+    return out
+
+
+def _long_list_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, shift, votes, errors, sure) between members of different components, all lists whole, see ``_cell_links``.
+
+    Members bring the integers around their landmark, so a list of many is compared within a task and
+    what doesn't align is never written.
+    """
+    start = F.greatest(F.col("at") - AROUND, F.lit(0))
+    window = F.substring("prints", start * 4 + 1, F.lit(8 * AROUND))
+    known = members.join(nodes.select("cls", "prints"), F.col("node") == F.col("cls"))
+    cells = in_cells(known.select("key", "node", "root", "at", "n", "size", start.alias("first"), window.alias("prints")))
+    cells = cells.select("key", "c1", "c2", "blk", "node", "root", "at", "n", "first", "prints")
+    dealt = cells.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+            cell = rows.column("c1")[0].as_py(), rows.column("c2")[0].as_py()
+            columns = [rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy() for c in ("blk", "node", "root", "at", "n", "first")]
+            yield from _cell_links(*columns, rows.column("prints").to_pylist(), cell[0] != cell[1])
+
+        def written(found: list[tuple]) -> pa.RecordBatch:
+            a, b, shift, errors, sure = (list(x) for x in zip(*found))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_())
+            values = (a, b, shift, [1] * len(a), errors, sure)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["a", "b", "shift", "votes", "errors", "sure"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            marks = [batch.column(c).to_numpy() for c in ("key", "c1", "c2")]
+            new = np.zeros(batch.num_rows, bool)
+            for x in marks:
+                new[1:] |= x[1:] != x[:-1]
+            if held and batch.num_rows:
+                last = held[-1].slice(held[-1].num_rows - 1)
+                new[0] = any(last.column(c)[0].as_py() != x[0] for c, x in zip(("key", "c1", "c2"), marks))
+            cut = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            found: list[tuple] = []
+            for k, (i, j) in enumerate(zip(cut, cut[1:])):
+                if k and held:
+                    found += links(pa.Table.from_batches(held) if len(held) > 1 else held[0])
+                    held = []
+                if j > i:
+                    held.append(batch.slice(i, j - i))
+            if found:
+                yield written(found)
+        if held and (found := list(links(pa.Table.from_batches(held) if len(held) > 1 else held[0]))):
+            yield written(found)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, errors double, sure boolean")
 
 
 def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFrame:
@@ -187,9 +290,10 @@ def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFr
 
     Rows of equal fingerprints are one class. Each landmark that two classes share votes for an offset
     between them; every offset with a vote is verified by overlap and bit errors, and what aligns is
-    connected. First all members of a landmark's list meet two representatives; what these have not
-    connected then meets each other, in blocks, so no alignment between classes of different
-    recordings is missed and copies of one are never paired. ``partner`` is the smallest id of the
+    connected. Members of a short list meet pair by pair. Those of a long one meet two
+    representatives, and what these have not connected is compared all with all inside tasks, in
+    cells of bounded size, so no alignment between classes of different recordings is missed and
+    copies of one are never paired. ``partner`` is the smallest id of the
     class with which the best verified alignment was seen, ``shift`` how many integers later the
     partner starts, ``votes`` that offset's height in the histogram; null without.
     Nulls, empty and too short audio have no fingerprint: they are their own recordings, as is a null
@@ -200,28 +304,30 @@ def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFr
     size = (F.octet_length("prints") / 4).cast("int")
     nodes = prints.where(F.octet_length("prints") > 0).groupBy("cls").agg(F.min("id").alias("least"), F.first("prints").alias("prints"), F.count("*").alias("n_rows"))
     nodes = settle(nodes)
-    shared = settle(shared_postings(_landmarks(nodes)).join(nodes.select(F.col("cls").alias("c"), size.alias("n")), F.col("node") == F.col("c")).drop("c"))
-    lengths = shared.select("node", "n").distinct()
-
-    # Representatives: the smaller class is a, and shift is where b starts in a.
-    met = representative_pairs(shared)
+    lengths = nodes.select(F.col("cls").alias("c"), size.alias("n"))
+    shared = settle(with_sizes(shared_postings(_landmarks(nodes))).join(lengths, F.col("node") == F.col("c")).drop("c"))
+
+    # Short lists pair by pair; the members of long ones with two representatives. The smaller class is a, and shift is where b starts in a.
+    short, long = shared.where(F.col("size") <= SHORT_LIST), shared.where(F.col("size") > SHORT_LIST)
+    x, y = (short.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "node", "at", "n")]) for s in ("x", "y"))
+    in_short = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_node") < F.col("y_node")))
+    in_short = in_short.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), (F.col("x_at") - F.col("y_at")).alias("shift"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"))
+    met = representative_pairs(long.select("key", "node", F.struct("at", "n").alias("at")))
     turned = F.col("node") > F.col("rep")
-    met = met.select(
-        F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"), F.when(turned, F.col("rep_at") - F.col("at")).otherwise(F.col("at") - F.col("rep_at")).alias("shift")
+    flip = lambda same, other: F.when(turned, other).otherwise(same)
+    in_long = met.select(
+        F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"), flip(F.col("at.at") - F.col("rep_at.at"), F.col("rep_at.at") - F.col("at.at")).alias("shift"),
+        flip(F.col("at.n"), F.col("rep_at.n")).alias("na"), flip(F.col("rep_at.n"), F.col("at.n")).alias("nb"),
     )
-    histogram = met.groupBy("a", "b", "shift").agg(F.count("*").alias("votes"))
-    na, nb = (lengths.toDF(c, n) for c, n in (("ca", "na"), ("cb", "nb")))
-    sized = histogram.join(na, F.col("a") == F.col("ca")).join(nb, F.col("b") == F.col("cb"))
-    offsets = settle(sized.where(_overlaps_enough(F.col("shift"), F.col("na"), F.col("nb"))).select("a", "b", "shift", "votes"))
-    links = _aligned(offsets, nodes)
-
-    # What they have not connected, all against all of a list.
-    members = with_roots(shared, connected_components(links.select("a", "b")))
-    shift = F.col("x_at") - F.col("y_at")
-    rest = cross_pairs(members, ["at", "n"], _overlaps_enough(shift, F.col("x_n"), F.col("y_n")))
-    rest = rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), shift.alias("shift")).groupBy("a", "b", "shift").agg(F.count("*").alias("votes"))
-    more = _aligned(rest.join(offsets, ["a", "b", "shift"], "left_anti"), nodes)
-    links = links.unionAll(more)
+    fit = in_short.unionByName(in_long).where(_overlaps_enough(F.col("shift"), F.col("na"), F.col("nb")))
+    histogram = fit.groupBy("a", "b", "shift").agg(F.count("*").alias("votes"))
+    links = settle(_aligned(histogram, nodes))
+
+    # What the representatives have not connected, all against all of a list.
+    members = with_roots(long, connected_components(links.select("a", "b")))
+    more = settle(_long_list_links(members, nodes))
+    unsure = more.where(~F.col("sure")).groupBy("a", "b", "shift").agg(F.count("*").alias("votes"))
+    links = links.unionByName(more.where("sure").drop("sure")).unionByName(settle(_aligned(unsure, nodes)))
 
     roots = connected_components(links.select("a", "b"))
     rooted = settle(nodes.select("cls", "least", "n_rows").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", "n_rows", F.coalesce("root", "cls").alias("root")))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import settle
 
 ORDERS = 2
-#: Members of a list that are held against each other in one cell of a join.
-BLOCK = 512
+#: Members of one block of a long list; each two blocks meet in a cell.
+BLOCK = 2048
 #: A class is crowded if it holds more than this share of the rows; there are at most 1 / CROWDED of them.
 CROWDED = 0.001
 
@@ -39,25 +39,39 @@ def representative_pairs(shared: DataFrame, orders: int = ORDERS) -> DataFrame:
     return joined.select("node", "at", "r.rep", "r.rep_at").where("node <> rep")
 
 
+def with_sizes(shared: DataFrame) -> DataFrame:
+    """shared with ``size``, the length of each posting's list."""
+    sizes = shared.groupBy(F.col("key").alias("k")).agg(F.count("*").cast("int").alias("size"))
+    return shared.join(sizes, F.col("key") == F.col("k")).drop("k")
+
+
 def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """shared with ``root``, the component of each node (itself without links), less the lists that lie in one component."""
     ends = roots.select(F.col("node").alias("__end"), "root")
     members = settle(shared.join(ends, F.col("node") == F.col("__end"), "left").withColumn("root", F.coalesce("root", "node")).drop("__end"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return members.join(mixed.select(F.col("key").alias("k"), "size"), F.col("key") == F.col("k")).drop("k")
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return members.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k")).drop("k")
 
 
-def cross_pairs(members: DataFrame, columns: list[str], near: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """All pairs of one list and different roots that satisfy ``near``: x_ and y_ of node and of the columns, x_node < y_node.
+def in_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """members (with ``size``) once for each cell of their list, with ``c1``, ``c2`` (the cell) and ``blk`` (their own block).
 
-    members comes from ``with_roots``. No member is left out, however long its list: a list is cut
-    into blocks and each two blocks meet in a cell of their own, so a hot list is many small equal
-    joins. ``near`` is part of the join's condition, so pairs that fail it are never written.
+    Every two members of a list meet: those of one block in the cell (blk, blk), those of two blocks
+    in the cell of both. No list is too long, and no cell has more than about two blocks of members.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
     cut = members.withColumn("blk", F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("key", F.least("blk", "other").alias("c1"), F.greatest("blk", "other").alias("c2"), "blk", "node", "root", *columns)
+    return cells.withColumns({"c1": F.least("blk", "other"), "c2": F.greatest("blk", "other")}).drop("other", "size")
+
+
+def cross_pairs(members: DataFrame, columns: list[str], near: Column | None = None, block: int = 512) -> DataFrame:
+    """All pairs of one list and different roots that satisfy ``near``: x_ and y_ of node and of the columns, x_node < y_node.
+
+    members comes from ``with_roots`` and has ``size``. ``near`` is part of the join's condition, so
+    pairs that fail it are never written.
+    """
+    cells = in_cells(members, block).select("key", "c1", "c2", "blk", "node", "root", *columns)
     x = cells.select(*[F.col(c).alias(f"x_{c}") for c in cells.columns])
     y = cells.select(*[F.col(c).alias(f"y_{c}") for c in cells.columns])
     same_cell = (F.col("x_key") == F.col("y_key")) & (F.col("x_c1") == F.col("y_c1")) & (F.col("x_c2") == F.col("y_c2"))

@@ -227,7 +227,7 @@ def test_audio_recall_against_all_pairs_at_all_offsets(spark):
         s = melody(rng, 6)
         for j in range(n):
             cut = s[(j % 6) * 3 * audio.HOP :]
-            rows.append((100 * k + j, wav(cut + rng.normal(0, 3, len(cut)))))
+            rows.append((100 * k + j, wav(cut + rng.normal(0, 1, len(cut)))))
     prints = {i: audio.packed_integers(audio.chroma(audio.decode(d))) for i, d in rows}
     pairs = [(a, b) for n, a in enumerate(prints) for b in list(prints)[:n] if best_errors(prints[a], prints[b]) <= audio.MOST_ERRORS]
     found = {r.id: r for r in audio.align_recordings(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
@@ -277,3 +277,15 @@ def test_audio_of_empty_tables_and_repeats(spark):
     found = audio.align_recordings(spark.createDataFrame(rows, schema), "id", "media").collect()
     assert sorted((r.id is None, r.n_prints > 0, r.recording) for r in found if r.n_prints) == [(False, True, 5), (False, True, 5), (True, True, 5)]
     assert [(r.id, r.recording) for r in found if not r.n_prints] == [(None, None)]
+
+
+def test_cells_compare_all_members(spark):
+    """Lists of many in small blocks: the same recordings as by all pairs, and no list is compared in part."""
+    from sparkloom.llm import linking
+
+    members = spark.range(40).selectExpr("1L AS key", "id AS node", "id AS root", "40 AS size")
+    met = linking.cross_pairs(members, [], None, block=7).collect()
+    assert sorted((r.x_node, r.y_node) for r in met) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    cells = linking.in_cells(members, 7).collect()
+    pairs = [tuple(sorted((p.node, q.node))) for p in cells for q in cells if (p.c1, p.c2) == (q.c1, q.c2) and p.node < q.node and (p.blk != q.blk or p.c1 == p.c2)]
+    assert sorted(pairs) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
