@@ -12,8 +12,8 @@ from sparkloom.llm.learning import SAMPLE_ROWS, own_label_sample, score_column,
 ORDERS = (3, 4)
 BUCKETS = 1 << 16
 DIMENSIONS = 16
-#: Lengths, in bytes, of the pieces of each sampled text that the model learns from; texts are scored whole.
-PIECES = (40, 150, 600)
+#: The model learns from each sampled text as a whole and, to know short texts too, from pieces of it of so many bytes.
+PIECES = (40, 150)
 #: Of the held-back pieces that are accepted, this share at least is right.
 ACCEPTED_RIGHT = 0.995
 UNKNOWN = "und"
@@ -47,14 +47,14 @@ def subwords(data: bytes) -> list[np.ndarray]:
 class LanguageModel:
     """Fitted on (texts, languages) by stochastic gradient descent; every fifth piece is held back for calibration."""
 
-    def __init__(self, texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5):
+    def __init__(self, texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5):
         self.langs = sorted(set(langs)) or [UNKNOWN]
         of = {x: i for i, x in enumerate(self.langs)}
         rng = np.random.default_rng(3)
         pieces: list[tuple[np.ndarray, np.ndarray, int]] = []
         for text, lang in zip(texts, langs):
             data = b" " + text.lower().encode("utf-8", "surrogatepass") + b" "
-            for size in PIECES:
+            for size in (*PIECES, len(data)):
                 at = int(rng.integers(0, max(1, len(data) - size)))
                 ids = np.concatenate(subwords(data[at : at + size]))
                 if len(ids):
@@ -124,18 +124,23 @@ def fit_language(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> La
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """df with ``language``, ``language_score`` and ``language_accepted``; nulls and texts without a letter are ``und``."""
-    return score_column(df, text_column, model, lambda m, texts: m(texts), "language string, language_score double, language_accepted boolean")
+    """df with ``__language``, ``__language_score`` and ``__language_accepted``; nulls and texts without a letter are ``und``."""
+    return score_column(df, text_column, model, lambda m, texts: m(texts), "__language string, __language_score double, __language_accepted boolean")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    """Language of every document, learned from those whose crc32(doc_id) mod 3 is not 1.
+
+    One row for each document, repeated ones included. A null text and one without a letter are
+    ``und`` at 0; a null doc_id counts as the empty text in the remainder. Of an empty table there is
+    nothing; without any learnable row all are ``und``.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit_language(docs, crc_mod("doc_id", 3) != 1)
     return detect_language(docs.select("doc_id", "text"), model).select(
         "doc_id",
         (crc_mod("doc_id", 3) == 1).alias("held_out"),
-        F.col("language").alias("lang_pred"),
-        F.col("language_score").alias("score"),
-        F.col("language_accepted").alias("accepted"),
+        F.col("__language").alias("lang_pred"),
+        F.col("__language_score").alias("score"),
+        F.col("__language_accepted").alias("accepted"),
     )

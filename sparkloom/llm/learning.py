@@ -6,43 +6,64 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: As many labelled rows, about, are learned from.
-SAMPLE_ROWS = 6000
-#: Texts of more characters are not learned from (they are scored whole like all others).
-SAMPLE_CHARS = 200_000
-_SCALE = 1 << 30
-
+from sparkloom.llm.common import settle
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], usable: Column, rows: int = SAMPLE_ROWS) -> list[tuple]:
-    """(text, *labels) of about ``rows`` labelled documents, on the driver; few more at most, for ids are drawn by their hash.
+#: So many labelled rows at most are learned from.
+SAMPLE_ROWS = 6000
+#: So many characters at most are learned from together. Sampled texts that no longer fit are passed over, in the order of
+#: the draw; a text is taken whole or not at all, and all are scored whole.
+SAMPLE_CHARS = 40_000_000
+
+
+def _texts(found: DataFrame, columns: list[str], order: list[Column], chars: int) -> list[tuple]:
+    """The columns, ``text`` first, of ``found``, a bounded number of rows, in the given order: as many as fit into ``chars``."""
+    places = [f"__o{i}" for i in range(len(order))]
+    rows = settle(found.select(*[c.alias(p) for c, p in zip(order, places)], *columns))
+    fits, total = [], 0
+    sizes = rows.select(*places, F.length("text").alias("size")).orderBy(*places).collect()
+    for r in sizes:
+        fits.append(total + r.size <= chars)
+        total += r.size * fits[-1]
+    if not all(fits):
+        chosen = [tuple(r)[:-1] for r, ok in zip(sizes, fits) if ok]
+        known = rows.sparkSession.createDataFrame(chosen, rows.select(*places).schema).toDF(*[f"{p}k" for p in places])
+        rows = rows.join(F.broadcast(known), [F.col(p).eqNullSafe(F.col(f"{p}k")) for p in places], "left_semi")
+    return [tuple(r)[len(places) :] for r in sorted(rows.collect(), key=lambda r: [(x is not None, x) for x in tuple(r)[: len(places)]])]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], usable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple]:
+    """(text, *labels) of at most ``rows`` labelled documents, on the driver; ids are drawn by their hash.
 
     Labels of one doc_id that repeat count once (the largest); rows with a null id, text or label are
-    left out. The drawn labels, bounded in number, are broadcast, so that the documents aren't shuffled.
+    left out. Of the texts of a doc_id that repeats the smallest counts. The drawn labels, at most
+    ``rows``, are broadcast, so that the documents aren't shuffled; texts of one id are brought
+    together before they travel.
     """
     known = labels.where(usable).groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names]).dropna()
-    share = min(1.0, rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(_SCALE)) < int(share * _SCALE)).withColumnRenamed("doc_id", "__id")
-    found = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    found = found.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "text", *names)
-    ids: set = set()
-    out = []
-    for r in sorted(found.collect(), key=lambda r: (r[0], r[1])):
-        if r[0] not in ids:
-            ids.add(r[0])
-            out.append(tuple(r)[1:])
-    return out
-
-
-def own_label_sample(docs: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS) -> list[tuple]:
-    """(text, label) of about ``rows`` documents that carry their label themselves."""
-    known = docs.where(usable & F.col(label).isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", label)
-    share = min(1.0, rows / max(1, docs.where(usable & F.col(label).isNotNull()).count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(_SCALE)) < int(share * _SCALE))
-    rows_ = sorted(drawn.collect(), key=lambda r: (str(r[0]), r[1], r[2]))
-    return [(r[1], r[2]) for r in rows_]
+    drawn = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "__id")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    once = found.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(n).alias(n) for n in names])
+    return _texts(once, ["text", *names], [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")], chars)
+
+
+def own_label_sample(docs: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple]:
+    """(text, label) of at most ``rows`` documents that carry their label themselves.
+
+    Labels take turns, so that a rare one has its rows in the sample. Rows are drawn by a hash of id
+    and text; a row that repeats counts once, null ids draw by their text alone. Only digests are
+    dealt and ranked, and each task passes on ``rows`` of a label at most.
+    """
+    usable_rows = docs.where(usable & F.col(label).isNotNull() & F.col("text").isNotNull())
+    digest = F.xxhash64(F.lit(11), "doc_id", "text")
+    keys = usable_rows.select(F.col(label).alias("__label"), digest.alias("__digest")).distinct()
+    turn = F.row_number().over(Window.partitionBy("__label").orderBy("__digest"))
+    drawn = keys.withColumn("__turn", turn).where(F.col("__turn") <= rows).orderBy("__turn", "__digest", "__label").limit(rows)
+    found = usable_rows.select("text", label, digest.alias("__d")).join(F.broadcast(drawn), (F.col("__d") == F.col("__digest")) & (F.col(label) == F.col("__label")))
+    once = found.groupBy("__turn", "__digest", label).agg(F.min("text").alias("text"))
+    return _texts(once, ["text", label], [F.col("__turn"), F.col("__digest"), F.col(label)], chars)
 
 
 def score_column(
@@ -50,13 +71,14 @@ def score_column(
 ) -> DataFrame:
     """df with new columns ``fields`` (as in DDL) that ``score(model, texts)`` gives as a list of arrays.
 
-    Nulls are scored as the empty text. Texts go through in chunks of so many rows, each text whole.
+    Their names begin with two underscores, which tables leave to the operators: one that has such a
+    column is refused, and all columns of a table come through as they are. Nulls are scored as the empty text. Texts go through in chunks of so many rows, each text whole.
     The model is sent to the executors once.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in fields.split(", ")]
-    clash = [c for c in df.columns if c in names]
-    df = df.drop(*clash)
+    if clash := [c for c in df.columns if c in names]:
+        raise ValueError(f"columns {clash} are the operator's own")
     at = df.columns.index(text_column)
     out = df
     for x in fields.split(", "):

@@ -118,7 +118,8 @@ class PooledVectors:
                 counts = np.bincount(of)
                 used = np.flatnonzero(counts)
                 row[at : at + DIMENSIONS] = counts[used] @ vectors[used] / n
-            same = np.fromiter(map(hash, tokens), np.int64, n)
+            numbers: dict[str, int] = {}
+            same = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, n)
             row[-3] = np.count_nonzero(same[1:] == same[:-1]) / n
             row[-2] = np.count_nonzero(same[2:] == same[:-2]) / n
             row[-1] = np.log1p(n) / 10
@@ -164,17 +165,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable, rows: int = SAMPLE_R
 
 
 def score_quality(df: DataFrame, model: DocumentClassifier, text_column: str = "text") -> DataFrame:
-    """df with ``quality_score``, the calibrated probability of label 1; nulls are scored as empty."""
-    return score_column(df, text_column, model, lambda m, texts: [m(texts)[:, 1].astype(np.float64)], "quality_score double")
+    """df with ``__quality``, the calibrated probability of label 1; nulls are scored as empty."""
+    return score_column(df, text_column, model, lambda m, texts: [m(texts)[:, 1].astype(np.float64)], "__quality double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document, learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
+    """Quality of every document, learned from labelled rows whose crc32(doc_id) mod 5 is not 0.
+
+    One row for each document, repeated ones included. A null text is scored as empty; a null doc_id
+    counts as the empty text in the remainder. Of an empty table there is nothing; without labels of
+    both kinds every text gets the share of label 1 seen, one more of each kind.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return score_quality(docs, model).select(
         "doc_id",
         (crc_mod("doc_id", 5) == 0).alias("held_out"),
-        F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+        F.col("__quality").alias("score"),
+        (F.col("__quality") >= 0.3).cast("int").alias("predicted"),
     )

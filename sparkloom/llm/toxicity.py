@@ -241,17 +241,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text") -> DataFrame:
-    """df with ``toxicity``, the probability of being toxic; nulls are scored as empty, texts whole."""
-    return score_column(df, text_column, model, lambda m, texts: [m(texts)], "toxicity double")
+    """df with ``__toxicity``, the probability of being toxic; nulls are scored as empty, texts whole."""
+    return score_column(df, text_column, model, lambda m, texts: [m(texts)], "__toxicity double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
+    """Toxicity of every document, learned from labelled rows whose crc32(doc_id) mod 5 is not 0.
+
+    One row for each document, repeated ones included. A null text is scored as empty; a null doc_id
+    counts as the empty text in the remainder. Of an empty table there is nothing; without labels of
+    both kinds every text gets the share of toxic rows seen, one more of each kind.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return score_toxicity(docs, model).select(
         "doc_id",
         (crc_mod("doc_id", 5) == 0).alias("held_out"),
-        F.col("toxicity").alias("score"),
-        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.col("__toxicity").alias("score"),
+        (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"),
     )

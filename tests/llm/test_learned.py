@@ -114,16 +114,56 @@ def test_language(spark, tables):
 
 def test_models_without_labels(spark):
     docs, labels = docs_of(spark, ["a", None]), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    assert [r.toxicity for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True))).collect()] == [0.5, 0.5]
+    assert [r["__toxicity"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True))).collect()] == [0.5, 0.5]
     assert quality.score_quality(docs, quality.fit_quality(docs, labels, F.lit(True))).count() == 2
-    assert [r.language for r in langid.detect_language(docs, langid.fit_language(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))).collect()] == ["und", "und"]
+    assert [r["__language"] for r in langid.detect_language(docs, langid.fit_language(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))).collect()] == ["und", "und"]
 
 
-def test_scores_replace_clashing_columns(spark, tables):
+CLASHES = ["toxicity", "quality", "quality_score", "language", "language_score", "posterior", "tokens", "rate", "score", "rows", "size", "key", "node", "id", "fp", "n", "c", "cls", "size", "turn", "x", "label"]
+
+
+def clashing(df):
+    for name in dict.fromkeys(CLASHES):
+        df = df.withColumn(name, F.lit(f"mine {name}"))
+    return df
+
+
+def test_columns_of_any_name_come_through(spark, tables):
     folder, _, _ = tables
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("toxicity", F.lit("mine"))
-    model = toxicity.ToxicityModel(["x"], [1])
-    assert dict(toxicity.score_toxicity(docs, model).dtypes)["toxicity"] == "double"
+    docs, labels = clashing(spark.read.parquet(f"{folder}/documents.parquet")), spark.read.parquet(f"{folder}/labels.parquet")
+    for found in (
+        toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True), rows=50)),
+        quality.score_quality(docs, quality.fit_quality(docs, labels, F.lit(True), rows=50)),
+        langid.detect_language(docs, langid.fit_language(docs, F.lit(True), rows=50)),
+        mixing.mix(docs, mixing.fit_domains(docs, labels, F.lit(True), rows=50), mixing.TARGETS).rows,
+    ):
+        assert found.columns[: len(docs.columns)] == docs.columns and all(c.startswith("__") for c in found.columns[len(docs.columns) :])
+        assert found.select(*docs.columns).exceptAll(docs).count() == 0 and found.count() == docs.count()
+    with pytest.raises(ValueError):
+        toxicity.score_toxicity(docs.withColumn("__toxicity", F.lit(1)), toxicity.ToxicityModel(["x"], [1]))
+
+
+def test_samples_are_bounded(spark):
+    from sparkloom.llm import learning
+
+    docs = spark.createDataFrame([(i % 7, f"text {i}", "xx" if i % 50 else "rare") for i in range(3000)] + [(None, f"t {i % 9}", "xx") for i in range(900)] + [(None, None, "xx"), (3000, "L" * 5000, "yy")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i % 7, i % 2, 0) for i in range(100)] + [(None, 1, 1), (3000, 1, 0), (5000, None, 1)], "doc_id bigint, quality int, toxic int")
+    found = learning.labelled_sample(docs, labels, ["quality", "toxic"], F.lit(True), rows=20)
+    # One text, the smallest, and the largest labels of each id that has both.
+    assert sorted(found)[:2] == [("L" * 5000, 1, 0), ("text 0", 1, 0)] and len(found) == 8
+    assert len(learning.labelled_sample(docs, labels, ["quality"], F.lit(True), rows=3)) == 3
+    # A text too long for the sum of characters is passed over, others are not.
+    assert len(learning.labelled_sample(docs, labels, ["quality"], F.lit(True), chars=200)) == 7
+    own = learning.own_label_sample(docs, "lang", F.lit(True), rows=100)
+    counts = Counter(x for _, x in own)
+    assert len(own) == 100 and counts["yy"] == 1 and counts["rare"] >= 49 and len(set(own)) == 100
+    assert learning.own_label_sample(docs.limit(0), "lang", F.lit(True)) == [] and learning.labelled_sample(docs.limit(0), labels, ["toxic"], F.lit(True)) == []
+
+
+def test_empty_tables_give_nothing(spark, tmp_path):
+    folder = write(spark, tmp_path, documents=docs_of(spark, []), labels=spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
+    for query in (toxicity.op4_toxicity, langid.op5_language, mixing.op6_mixing, audio.op7_chroma, quality.op9_quality, licenses.op10_licenses):
+        assert query(spark, folder).count() == 0
 
 
 def test_mixing_meets_its_targets(spark, tables):
@@ -131,21 +171,23 @@ def test_mixing_meets_its_targets(spark, tables):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = mixing.fit_domains(docs, spark.read.parquet(f"{folder}/labels.parquet"), F.lit(True))
     targets = {"good": 0.5, "poor": 0.3, "good_toxic": 0.15, "poor_toxic": 0.05}
-    mixed = mixing.mix(docs, model, targets, keep=["doc_id"], ridge=0.001)
-    assert mixed.rows.count() == n and np.abs(np.array(mixed.after) - list(targets.values())).max() < 0.02
-    assert mixed.rows.where("rate < 0 or rate > 4 or rate is null").count() == 0
-    again = mixing.mix(docs, model, targets, ridge=0.001).rows.select("doc_id", "rate")
-    both = {r.doc_id: r.rate for r in again.collect()}
-    assert all(abs(both[r.doc_id] - r.rate) < 1e-9 for r in mixed.rows.collect())
-    assert mixing.op6_mixing(spark, folder).count() == n
+    mixed = mixing.mix(docs, model, targets, keep=["doc_id"])
+    assert mixed.rows.count() == n and np.abs(np.array(mixed.after) - list(targets.values())).max() < 0.001
+    assert mixed.rows.where("__rate < 0 or __rate > 4 or __rate is null").count() == 0
+    # The shares reported are those that the rows' own rates, posteriors and tokens give.
+    rows = mixed.rows.collect()
+    sums = sum(np.array(r["__posterior"]) * r["__rate"] * r["__tokens"] for r in rows) / sum(r["__tokens"] for r in rows)
+    assert np.abs(sums - mixed.after).max() < 1e-6
+    out = mixing.op6_mixing(spark, folder).collect()
+    assert len(out) == n and all(abs(r.share_reached - r.share_wished) < 0.01 for r in out)
 
 
 def test_rates_solve_the_least_squares_problem(spark):
     rng = np.random.default_rng(1)
     p, t = rng.dirichlet([1, 1, 1], 60), rng.integers(1, 50, 60)
-    rows = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(p, t)], "posterior array<double>, tokens bigint")
+    rows = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(p, t)], "__posterior array<double>, __tokens bigint")
     fitted, _, _, _ = mixing.fit_rates(rows, [0.6, 0.3, 0.1], ridge=0.05, rounds=300, enough=0)
-    got = {tuple(r.posterior): r.rate for r in fitted.collect()}
+    got = {tuple(r["__posterior"]): r["__rate"] for r in fitted.collect()}
     m, x = t / t.sum(), np.ones(60)
     for _ in range(20_000):
         x = np.clip(x - 0.5 * (p @ (p.T @ (m * x) - [0.6, 0.3, 0.1]) + 0.05 * (x - 1)), 0, 4)
@@ -153,7 +195,7 @@ def test_rates_solve_the_least_squares_problem(spark):
 
 
 def test_empty_mixing(spark):
-    rows = spark.createDataFrame([], "posterior array<double>, tokens bigint")
+    rows = spark.createDataFrame([], "__posterior array<double>, __tokens bigint")
     fitted, past, before, after = mixing.fit_rates(rows, [0.5, 0.5])
     assert fitted.count() == 0 and past == [] and before == after == [0.0, 0.0]
 
