@@ -226,8 +226,9 @@ def test_winnowing_equals_brute_force(spark, tmp_path, monkeypatch):
             parts[3:3] = w[a : a + rng.randrange(5, 25)]
         texts.append(rng.choice([" ", ", ", "\n"]).join(parts))
     folder = write(spark, tmp_path, documents=docs_of(spark, texts), benchmark=spark.createDataFrame(items, "item_id bigint, text string"))
-    for block in (16_000_000, 200):
-        monkeypatch.setattr(winnowing, "BLOCK_BYTES", block)
+    for bits in (1 << 25, 64):
+        # A filter that lets everything through changes nothing.
+        monkeypatch.setattr(winnowing, "FILTER_BITS", bits)
         rows = {r.doc_id: r for r in winnowing.op3_decontamination(spark, folder).collect()}
         for i, text in enumerate(texts):
             n, hit, found = brute_contamination(text, items)
@@ -236,6 +237,33 @@ def test_winnowing_equals_brute_force(spark, tmp_path, monkeypatch):
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), digest, hit > 0), (i, text[:80] if text else text)
 
 
+def test_words_are_hashed_alike_in_any_piece(monkeypatch):
+    text = ("abc Été,x9 " * 300 + "y" * 5000 + " ") * 3
+    whole = winnowing.Scanned([text, None, "a"])
+    monkeypatch.setattr(winnowing, "SCAN_BYTES", 64)
+    cut = winnowing.Scanned([text, None, "a"])
+    assert (whole.hashes == cut.hashes).all() and (whole.starts == cut.starts).all() and (whole.ends == cut.ends).all()
+    assert whole.counts.tolist() == [2703, 0, 1] and whole.window(0, 2) == "abc Été".encode()
+
+
+def test_repeated_passages_are_linear_and_hits_are_verified(spark, tmp_path):
+    passage = " ".join(["again"] * 10_000)
+    thue = ["a"]
+    for _ in range(10):
+        thue = thue + ["b" if c == "a" else "a" for c in thue]
+    one, other = "".join(thue), "".join("b" if c == "a" else "a" for c in thue)
+    assert one != other
+    tail = " ".join(f"z{i}" for i in range(9))
+    folder = write(
+        spark, tmp_path, documents=docs_of(spark, [passage + " end", f"{other} {tail}", f"{one} {tail}"]), benchmark=spark.createDataFrame([(1, passage), (2, f"{one} {tail}")], "item_id bigint, text string")
+    )
+    rows = {r.doc_id: r for r in winnowing.op3_decontamination(spark, folder).collect()}
+    assert [(rows[i].n_words, rows[i].n_hit, rows[i].n_items) for i in range(3)] == [(10_001, 10_000, 1), (10, 0, 0), (10, 10, 1)]
+    df = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS n", "2 AS digest", "3 AS words", "4 AS d", "5 AS item", "6 AS length", "7 AS `print`")
+    found = winnowing.find_contamination(df, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert found.columns == [*df.columns, "__n_words", "__hit", "__items"] and found.select(*df.columns).exceptAll(df).count() == 0 and found.count() == 3
+
+
 def test_winnow_keeps_one_of_every_window():
     grams = np.array([5, 3, 3, 9, 1, 7, 7, 7, 2], np.uint64)
     kept = winnowing.winnow(grams, 3)
