@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import settle, table
 from sparkloom.llm.graph import connected_components
-from sparkloom.llm.linking import attach, in_cells, representative_pairs, shared_postings, with_roots, with_sizes
+from sparkloom.llm.linking import SHORT_LIST, attach, dealt, each_cell, in_cells, representative_pairs, shared_postings, short_pairs, with_roots, with_sizes
 
 RATE = 8000
 FRAME = 256
@@ -30,8 +30,6 @@ LEAST_SHARE = 0.5
 MOST_ERRORS = 0.04
 #: A landmark is a run of so many integers. Fewer survive more noise and agree more often by chance.
 RUN = 3
-#: Lists up to this length are compared pair by pair as rows, longer ones within a task.
-SHORT_LIST = 8
 #: Integers on either side of a landmark that go with it where long lists are compared, and how many bits may differ there.
 AROUND = 256
 MOST_ERRORS_AROUND = 0.12
@@ -246,43 +244,21 @@ def _long_list_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
     known = members.join(nodes.select("cls", "prints"), F.col("node") == F.col("cls"))
     cells = in_cells(known.select("key", "node", "root", "at", "n", "size", start.alias("first"), window.alias("prints")))
     cells = cells.select("key", "c1", "c2", "blk", "node", "root", "at", "n", "first", "prints")
-    dealt = cells.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
-            cell = rows.column("c1")[0].as_py(), rows.column("c2")[0].as_py()
-            columns = [rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy() for c in ("blk", "node", "root", "at", "n", "first")]
-            yield from _cell_links(*columns, rows.column("prints").to_pylist(), cell[0] != cell[1])
-
-        def written(found: list[tuple]) -> pa.RecordBatch:
-            a, b, shift, errors, sure = (list(x) for x in zip(*found))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_())
-            values = (a, b, shift, [1] * len(a), errors, sure)
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["a", "b", "shift", "votes", "errors", "sure"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            marks = [batch.column(c).to_numpy() for c in ("key", "c1", "c2")]
-            new = np.zeros(batch.num_rows, bool)
-            for x in marks:
-                new[1:] |= x[1:] != x[:-1]
-            if held and batch.num_rows:
-                last = held[-1].slice(held[-1].num_rows - 1)
-                new[0] = any(last.column(c)[0].as_py() != x[0] for c, x in zip(("key", "c1", "c2"), marks))
-            cut = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            found: list[tuple] = []
-            for k, (i, j) in enumerate(zip(cut, cut[1:])):
-                if k and held:
-                    found += links(pa.Table.from_batches(held) if len(held) > 1 else held[0])
-                    held = []
-                if j > i:
-                    held.append(batch.slice(i, j - i))
-            if found:
-                yield written(found)
-        if held and (found := list(links(pa.Table.from_batches(held) if len(held) > 1 else held[0]))):
-            yield written(found)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, errors double, sure boolean")
+        found: list[tuple] = []
+        for rows in each_cell(batches):
+            if rows is not None:
+                columns = [rows.column(c).to_numpy() for c in ("blk", "node", "root", "at", "n", "first")]
+                found += _cell_links(*columns, rows.column("prints").to_pylist(), rows.column("c1")[0] != rows.column("c2")[0])
+            elif found:
+                a, b, shift, errors, sure = zip(*found)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_())
+                values = (a, b, shift, [1] * len(a), errors, sure)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["a", "b", "shift", "votes", "errors", "sure"])
+                found = []
+
+    return dealt(cells).mapInArrow(run, "a bigint, b bigint, shift int, votes bigint, errors double, sure boolean")
 
 
 def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFrame:
@@ -308,18 +284,15 @@ def align_recordings(df: DataFrame, id_column: str, audio_column: str) -> DataFr
     shared = settle(with_sizes(shared_postings(_landmarks(nodes))).join(lengths, F.col("node") == F.col("c")).drop("c"))
 
     # Short lists pair by pair; the members of long ones with two representatives. The smaller class is a, and shift is where b starts in a.
-    short, long = shared.where(F.col("size") <= SHORT_LIST), shared.where(F.col("size") > SHORT_LIST)
-    x, y = (short.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "node", "at", "n")]) for s in ("x", "y"))
-    in_short = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_node") < F.col("y_node")))
-    in_short = in_short.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), (F.col("x_at") - F.col("y_at")).alias("shift"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"))
-    met = representative_pairs(long.select("key", "node", F.struct("at", "n").alias("at")))
+    placed, long = shared.withColumn("at", F.struct("at", "n")), shared.where(F.col("size") > SHORT_LIST)
+    met = short_pairs(placed).unionByName(representative_pairs(placed.where(F.col("size") > SHORT_LIST)))
     turned = F.col("node") > F.col("rep")
     flip = lambda same, other: F.when(turned, other).otherwise(same)
-    in_long = met.select(
+    met = met.select(
         F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"), flip(F.col("at.at") - F.col("rep_at.at"), F.col("rep_at.at") - F.col("at.at")).alias("shift"),
         flip(F.col("at.n"), F.col("rep_at.n")).alias("na"), flip(F.col("rep_at.n"), F.col("at.n")).alias("nb"),
     )
-    fit = in_short.unionByName(in_long).where(_overlaps_enough(F.col("shift"), F.col("na"), F.col("nb")))
+    fit = met.where(_overlaps_enough(F.col("shift"), F.col("na"), F.col("nb")))
     histogram = fit.groupBy("a", "b", "shift").agg(F.count("*").alias("votes"))
     links = settle(_aligned(histogram, nodes))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import settle
 
+#: Lists up to this length are compared pair by pair as rows, longer ones within tasks.
+SHORT_LIST = 8
 ORDERS = 2
 #: Members of one block of a long list; each two blocks meet in a cell.
 BLOCK = 2048
@@ -29,7 +35,7 @@ def shared_postings(postings: DataFrame) -> DataFrame:
 def representative_pairs(shared: DataFrame, orders: int = ORDERS) -> DataFrame:
     """(node, at, rep, rep_at): each posting held against the smallest of its key's list under so many hash orders.
 
-    Linear in the postings. Members of a list that meet only each other are left to ``cross_pairs``.
+    Linear in the postings. Members of a list that meet only each other are left to its cells.
     Minima are aggregated before the shuffle, and the join by key is one that AQE can split.
     """
     least = [F.min(F.struct(F.xxhash64(F.lit(o), "node").alias("h"), F.col("node").alias("rep"), F.col("at").alias("rep_at"))).alias(f"r{o}") for o in range(orders)]
@@ -45,6 +51,13 @@ def with_sizes(shared: DataFrame) -> DataFrame:
     return shared.join(sizes, F.col("key") == F.col("k")).drop("k")
 
 
+def short_pairs(shared: DataFrame) -> DataFrame:
+    """(node, at, rep, rep_at) of every two members of a list of at most SHORT_LIST; shared has ``size``."""
+    short = shared.where(F.col("size") <= SHORT_LIST).select("key", "node", "at")
+    other = short.select(F.col("key").alias("k"), F.col("node").alias("rep"), F.col("at").alias("rep_at"))
+    return short.join(other, (F.col("key") == F.col("k")) & (F.col("node") < F.col("rep"))).select("node", "at", "rep", "rep_at")
+
+
 def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """shared with ``root``, the component of each node (itself without links), less the lists that lie in one component."""
     ends = roots.select(F.col("node").alias("__end"), "root")
@@ -65,19 +78,35 @@ def in_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return cells.withColumns({"c1": F.least("blk", "other"), "c2": F.greatest("blk", "other")}).drop("other", "size")
 
 
-def cross_pairs(members: DataFrame, columns: list[str], near: Column | None = None, block: int = 512) -> DataFrame:
-    """All pairs of one list and different roots that satisfy ``near``: x_ and y_ of node and of the columns, x_node < y_node.
-
-    members comes from ``with_roots`` and has ``size``. ``near`` is part of the join's condition, so
-    pairs that fail it are never written.
-    """
-    cells = in_cells(members, block).select("key", "c1", "c2", "blk", "node", "root", *columns)
-    x = cells.select(*[F.col(c).alias(f"x_{c}") for c in cells.columns])
-    y = cells.select(*[F.col(c).alias(f"y_{c}") for c in cells.columns])
-    same_cell = (F.col("x_key") == F.col("y_key")) & (F.col("x_c1") == F.col("y_c1")) & (F.col("x_c2") == F.col("y_c2"))
-    once = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & ((F.col("x_blk") != F.col("y_blk")) | (F.col("x_c1") == F.col("x_c2")))
-    on = same_cell & once if near is None else same_cell & once & near
-    return x.join(y, on).select(*[f"{s}_{c}" for s in ("x", "y") for c in ("node", *columns)])
+def dealt(cells: DataFrame) -> DataFrame:
+    """The rows of ``in_cells`` with those of a cell behind each other, for ``each_cell``."""
+    return cells.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+
+
+def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
+    """The rows of each cell, one cell at a time, and None after each batch; only the last cell of a batch waits for more rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [batch.column(c).to_numpy() for c in ("key", "c1", "c2")]
+        new = np.zeros(batch.num_rows, bool)
+        for x in marks:
+            new[1:] |= x[1:] != x[:-1]
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            new[0] = any(last.column(c)[0].as_py() != x[0] for c, x in zip(("key", "c1", "c2"), marks))
+        cut = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for k, (i, j) in enumerate(zip(cut, cut[1:])):
+            if k and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if j > i:
+                held.append(batch.slice(i, j - i))
+        yield None
+    if held:
+        yield pa.Table.from_batches(held)
+        yield None
 
 
 def attach(rows: DataFrame, key: str, classes: DataFrame, class_key: str, n_rows: str, total: int) -> DataFrame:
