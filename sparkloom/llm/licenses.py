@@ -12,6 +12,11 @@ from sparkloom.llm.common import table
 from sparkloom.llm.learning import softmax, temperature
 
 UNKNOWN = "unknown"
+#: Lines of a window in which wrapped notices are looked for, from one window to the next, and the characters of a line that
+#: can be part of one.
+WRAPPED = 8
+STRIDE = 4
+SHORT_LINE = 160
 #: A prediction is confirmed if a paragraph holds this share of the n-grams of a template of its family.
 CONFIRMED = 0.5
 #: Of the held-back notices that are accepted, this share at least has the right family.
@@ -173,45 +178,61 @@ def _paragraph_scores(paragraphs: Column, model: LicenceModel) -> Column:
 
 
 def find_licences(df: DataFrame, model: LicenceModel, text_column: str = "text") -> DataFrame:
-    """df with ``licences``: ARRAY<STRUCT<paragraph, family, p, share, confirmed>> of its licence notices.
-
-    Paragraphs are the lines of the whole text, from 1. One below the accepted probability, or best
-    explained as ``unknown``, isn't a notice; one whose family has no template that is largely there
-    is listed as ``unknown``, unconfirmed. Texts without any word of the model are passed over, which
-    is what their score would say. A null or empty text has none.
+    """df with ``__licences``: ARRAY<STRUCT<paragraph, family, p, share, confirmed>> of its licence notices.
+
+    Paragraphs are the lines of the whole text, from 1, and, for notices wrapped over lines, windows of
+    WRAPPED lines that overlap by half: their short lines are read as one, so a notice of up to half a
+    window's lines and one more is in one window whole. One below the accepted probability, or best
+    explained as ``unknown``, isn't a notice; a line whose family has no template that is largely
+    there is listed as ``unknown``, unconfirmed. A window counts only if confirmed, under its first
+    line, and only for a family that neither a line nor an earlier window of the text has. Texts
+    without any word of the model are passed over, which is what their score would say. A null or
+    empty text has none.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     signs = F.array(*[F.lit(s) for s in model.signs])
     bare = lambda t: F.split(F.lower(t), "[^a-z0-9.-]+|[.-]+(?![a-z0-9])")
-    lines = F.transform(F.split(text, "\n"), lambda p, i: F.struct((i + 1).alias("at"), p.alias("text")))
-    lines = F.filter(lines, lambda x: F.arrays_overlap(bare(x["text"]), signs))
+    bearing = lambda x: F.arrays_overlap(bare(x["text"]), signs)
+    split = F.split(text, "\n")
+    lines = F.filter(F.transform(split, lambda p, i: F.struct((i + 1).alias("at"), p.alias("text"))), bearing)
     out = df.withColumn("__lines", F.when(F.arrays_overlap(bare(text), signs), lines))
-    scored = _paragraph_scores(F.transform("__lines", lambda x: x["text"]), model)
-    rows = F.zip_with("__lines", scored, lambda x, s: F.struct(x["at"].alias("paragraph"), s["family"].alias("family"), s["p"].alias("p"), s["share"].alias("share")))
-    rows = F.filter(rows, lambda r: (r["family"] != UNKNOWN) & (r["p"] >= model.accepted))
-    rows = F.transform(
-        rows,
-        lambda r: F.struct(
-            r["paragraph"].alias("paragraph"),
-            F.when(r["share"] >= CONFIRMED, r["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
-            r["p"].alias("p"),
-            r["share"].alias("share"),
-            (r["share"] >= CONFIRMED).alias("confirmed"),
-        ),
-    )
-    empty = F.array().cast("array<struct<paragraph:int,family:string,p:double,share:double,confirmed:boolean>>")
-    return out.withColumn("licences", F.coalesce(F.when(F.col("__lines").isNotNull(), rows), empty)).drop("__lines")
+    # A window starts at every half, and is read if two of its short lines bear words of the model.
+    near = F.filter("__lines", lambda x: F.length(x["text"]) <= SHORT_LINE)
+    halves = F.array_distinct(F.flatten(F.transform(near, lambda x: F.array(F.floor((x["at"] - 1) / STRIDE), F.greatest(F.floor((x["at"] - 1) / STRIDE) - 1, F.lit(0))))))
+    short = lambda i: F.filter(F.slice(split, i * STRIDE + 1, WRAPPED), lambda p: F.length(p) <= SHORT_LINE)
+    windows = F.transform(halves, lambda i: F.struct((i * STRIDE + 1).cast("int").alias("at"), F.array_join(short(i.cast("int")), " ").alias("text")))
+    out = out.withColumn("__windows", F.when(F.size(near) > 1, F.array_sort(windows)).otherwise(F.array().cast("array<struct<at:int,text:string>>")))
+    row = "struct<paragraph:int,family:string,p:double,share:double,confirmed:boolean>"
+
+    def notices(units: str) -> Column:
+        scored = _paragraph_scores(F.transform(units, lambda x: x["text"]), model)
+        rows = F.zip_with(units, scored, lambda x, s: F.struct(x["at"].alias("paragraph"), s["family"].alias("family"), s["p"].alias("p"), s["share"].alias("share")))
+        rows = F.filter(rows, lambda r: (r["family"] != UNKNOWN) & (r["p"] >= model.accepted))
+        named = lambda r: F.when(r["share"] >= CONFIRMED, r["family"]).otherwise(F.lit(UNKNOWN))
+        rows = F.transform(rows, lambda r: F.struct(r["paragraph"].alias("paragraph"), named(r).alias("family"), r["p"].alias("p"), r["share"].alias("share"), (r["share"] >= CONFIRMED).alias("confirmed")))
+        return F.coalesce(rows, F.array()).cast(f"array<{row}>")
+
+    none = F.array().cast(f"array<{row}>")
+    out = out.withColumn("__by_line", F.when(F.col("__lines").isNotNull(), notices("__lines")).otherwise(none))
+    out = out.withColumn("__by_window", F.when(F.size("__windows") > 0, F.filter(notices("__windows"), lambda r: r["confirmed"])).otherwise(none))
+    known = F.transform("__by_line", lambda r: r["family"])
+    new = F.filter("__by_window", lambda r, i: ~F.array_contains(known, r["family"]) & ~F.exists(F.slice("__by_window", 1, i), lambda e: e["family"] == r["family"]))
+    return out.withColumn("__licences", F.array_sort(F.concat("__by_line", new))).drop("__lines", "__windows", "__by_line", "__by_window")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence families of every document, with the paragraph of each notice."""
+    """Licence families of every document, with the paragraph of each notice.
+
+    One row for each document, repeated ones included; a null text has no notice. Of families that
+    explain a paragraph equally well the later name counts. An empty table gives no rows.
+    """
     found = find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), LicenceModel())
-    confirmed = F.filter("licences", lambda r: r["confirmed"])
-    written = F.transform("licences", lambda r: F.concat_ws(":", r["family"], r["paragraph"].cast("string")))
+    confirmed = F.filter("__licences", lambda r: r["confirmed"])
+    written = F.transform("__licences", lambda r: F.concat_ws(":", r["family"], r["paragraph"].cast("string")))
     return found.select(
         "doc_id",
-        F.size("licences").cast("bigint").alias("n_notices"),
+        F.size("__licences").cast("bigint").alias("n_notices"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda r: r["family"]))), ",").alias("families"),
         F.array_join(written, ",").alias("notices"),
-        F.coalesce(F.array_max(F.transform("licences", lambda r: r["p"])), F.lit(0.0)).alias("best_p"),
+        F.coalesce(F.array_max(F.transform("__licences", lambda r: r["p"])), F.lit(0.0)).alias("best_p"),
     )

@@ -9,6 +9,8 @@ from sparkloom.llm.common import table
 
 #: Jumps that are made before the rest of a longer walk is looked at.
 SHORT_WALK = 16
+#: So many slots of one repeated row are numbered at once.
+RANGE = 10_000
 
 
 def _jumps(key: list[Column], n: Column, state: Column, first: int, last: Column) -> Column:
@@ -80,7 +82,10 @@ def with_slots(rows: DataFrame, shard: str, key_columns: list[str], buckets: int
     placed = counted.withColumn("__at", F.coalesce(F.sum("__n").over(within), F.lit(0)))
     joined = placed.join(F.broadcast(first), F.col(shard).eqNullSafe(F.col("__shard")) & (F.col("__bucket") == F.col("__b")))
     begin = F.col("__first") + F.col("__at")
-    return joined.select(*columns, F.explode(F.sequence(begin, begin + F.col("__n") - 1)).alias("slot"))
+    # A row that repeats is numbered in ranges of bounded length, so that no array holds them all.
+    ranges = joined.select(*columns, begin.alias("__begin"), "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / RANGE))).alias("__range"))
+    first, last = F.col("__range") * RANGE, F.least(F.col("__range") * RANGE + RANGE, F.col("__n")) - 1
+    return ranges.select(*columns, F.explode(F.sequence(F.col("__begin") + first, F.col("__begin") + last)).alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,8 +86,23 @@ def test_secrets_equal_brute_force(spark, tmp_path):
 
 def test_secret_spans_of_an_extra_column_table(spark):
     df = docs_of(spark, SECRETS).withColumn("secrets", F.lit("clash")).withColumn("text2", F.lit(1))
-    found = secrets.find_secrets(df.drop("secrets"))
-    assert found.count() == len(SECRETS)
+    found = secrets.find_secrets(df)
+    assert found.columns == [*df.columns, "__secrets"] and found.where("secrets = 'clash'").count() == len(SECRETS)
+
+
+def test_many_secrets_of_one_text(spark):
+    text = "é token=abc123 x " * 3000
+    rows = secrets.find_secrets(docs_of(spark, [text])).first()["__secrets"]
+    assert [(r.start, r.end) for r in rows] == [(m.start(), m.end()) for m in re.finditer("token=abc123", text)]
+
+
+def test_secrets_equal_their_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    duckdb.sql(f"create or replace view documents as select * from '{folder}/documents.parquet'")
+    want = duckdb.sql(secrets.ORACLE).fetchall()
+    assert sorted(tuple(r) for r in secrets.op1_secrets(spark, folder).collect()) == sorted(want)
 
 
 def test_trigram_queries():
@@ -306,6 +321,12 @@ def test_sharding(spark, tmp_path):
     assert len({r.shard for r in rows if r.doc_id is None}) == 1
 
 
+def test_slots_of_a_row_that_repeats(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE", 7)
+    df = spark.range(100).selectExpr("id % 3 AS k", "0 AS shard")
+    assert sorted(r.slot for r in sharding.with_slots(df, "shard", ["k"]).collect()) == list(range(100))
+
+
 def test_jump_shards_agree_at_all_sizes(spark):
     df = spark.range(400)
     at = [dict(sharding.with_shards(df, ["id"], n).select("id", "shard").collect()) for n in range(1, 41)]

@@ -205,12 +205,44 @@ def test_licences(spark):
     filler = " ".join(words(rng, "xx", 40))
     notices = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "mit": "RELEASED!! UNDER!! THE!! MIT!! LICENSE.!!", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
     texts = [f"{filler}\n{t}\n{filler}" for t in notices.values()] + [None, "", filler, "A license plate and a public road, version 3.", LONG + "\nReleased under the MIT License."]
-    found = {r.doc_id: r.licences for r in licenses.find_licences(docs_of(spark, texts).withColumn("x", F.lit(1)), licenses.LicenceModel()).collect()}
+    found = {r.doc_id: r["__licences"] for r in licenses.find_licences(docs_of(spark, texts).withColumn("x", F.lit(1)), licenses.LicenceModel()).collect()}
     for i, family in enumerate(notices):
         assert [(x.family, x.paragraph, x.confirmed) for x in found[i]] == [(family, 2, True)]
     assert [found[i] for i in (4, 5, 6, 7)] == [[], [], [], []] and [(x.family, x.paragraph) for x in found[8]] == [("mit", 2)]
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd": """Redistribution and use in source and binary forms, with or
+without modification, are permitted provided that the
+following conditions are met:""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or
+modify it under the terms of the GNU General Public License,
+either version 3 of the License, or (at your option)
+any later version.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this
+software for any purpose with or without fee is hereby
+granted, provided that""",
+    "apache-2.0": """Licensed under the Apache License,
+Version 2.0 (the "License"); you may not use
+this file except in compliance with
+the License.""",
+}
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(8)
+    lines = lambda n: "\n".join(" ".join(words(rng, "xx", 9)) for _ in range(n))
+    texts = [f"{lines(k)}\n\n{t}\n\n{lines(5)}" for k, t in enumerate(WRAPPED.values())] + [f"{t}\n{lines(3)}" for t in WRAPPED.values()] + [lines(60)]
+    df = docs_of(spark, texts).withColumn("licences", F.lit("mine"))
+    found = {r.doc_id: r for r in licenses.find_licences(df, licenses.LicenceModel()).collect()}
+    for i in range(10):
+        assert {x.family for x in found[i]["__licences"] if x.confirmed} == {list(WRAPPED)[i % 5]} and found[i].licences == "mine"
+    assert found[10]["__licences"] == []
+
+
 def test_licence_scores_equal_the_model(spark):
     model = licenses.LicenceModel()
     texts = ["This work is licensed under the GNU General Public License, version 2", "permission is granted to any person", "mit mit mit license", "the of and"]
