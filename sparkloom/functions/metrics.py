@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,23 +30,26 @@ def lookup(values: dict[str, float], key: Column, default: float) -> Column:
 
 
 def line_stats(text: Column) -> dict[str, Column]:
-    """loc, blank_lines, comment_lines and code_lines; a comment line starts with // or *."""
-    trimmed = F.transform(F.split(text, "\n"), trim_all)
-    loc = F.size(trimmed)
-    blank = F.size(F.filter(trimmed, lambda x: x == ""))
-    comment = F.size(F.filter(trimmed, lambda x: x.startswith("//") | x.startswith("*")))
+    """loc, blank_lines, comment_lines and code_lines; a comment line starts with // or *.
+
+    Lines are counted where they start, without splitting the text.
+    """
+    start = r"(?<![^\n])[ \t\x0B\f\r]*"
+    loc = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    blank = matches(text, start + r"(?![^\n])")
+    comment = matches(text, start + r"(?://|\*)")
     return {"loc": loc, "blank_lines": blank, "comment_lines": comment, "code_lines": loc - blank - comment}
 
 
 def cyclomatic(text: Column) -> Column:
-    parts = [matches(text, word(w)) for w in BRANCH_WORDS] + [matches(text, r"\?\?|\?\."), matches(text, r"&&|\|\|")]
-    return reduce(lambda a, b: a + b, parts, F.lit(1))
+    """1 and one for each branch word and operator. They share no characters, so one pass counts them all."""
+    return F.lit(1) + matches(text, word(f"(?:{'|'.join(BRANCH_WORDS)})") + r"|\?\?|\?\.|&&|\|\|")
 
 
 def loose_cyclomatic(text: Column) -> Column:
     """The coarser count that the rules look at; && and || count only between word characters."""
     between = r"(?<=[A-Za-z0-9_])(?:&&|\|\|)(?=[A-Za-z0-9_])"
-    return F.lit(1) + matches(text, "|".join([word("if"), word("for"), word("while"), between]))
+    return F.lit(1) + matches(text, f"{word('(?:if|for|while)')}|{between}")
 
 
 def nesting_line_score(text: Column) -> Column:

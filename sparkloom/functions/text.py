@@ -42,6 +42,10 @@ def matches(text: Column, regex: str) -> Column:
     return F.regexp_count(text, F.lit(regex))
 
 
+def lookup_text(values: dict[str, str], key: Column, default: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), key), F.lit(default))
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
