@@ -49,7 +49,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
 def with_posteriors(df: DataFrame, model: DocumentClassifier, text_column: str = "text") -> DataFrame:
     """df with ``__posterior`` ARRAY<DOUBLE> and ``__tokens``, the words between white space; a null text has none."""
     def score(m: DocumentClassifier, texts: list[str]) -> list:
-        return [[list(map(float, p)) for p in m(texts)], np.array([len(t.split()) for t in texts], np.int64)]
+        posteriors, tokens = m(texts)
+        return [posteriors.tolist(), tokens]
 
     return score_column(df, text_column, model, score, "__posterior array<double>, __tokens bigint")
 

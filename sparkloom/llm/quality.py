@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import xxhash
@@ -107,23 +109,23 @@ class PooledVectors:
         both = np.fromiter(map(self._cache.__getitem__, tokens), np.int64, len(tokens))
         return both // SHAPES, both % SHAPES, tokens
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text, and its number of tokens."""
         out = np.zeros((len(texts), 2 * DIMENSIONS + 3), np.float32)
-        for row, text in zip(out, texts):
+        lengths = np.zeros(len(texts), np.int64)
+        for i, (row, text) in enumerate(zip(out, texts)):
             ids, kinds, tokens = self._ids(text)
-            n = len(ids)
+            n = lengths[i] = len(ids)
             if not n:
                 continue
             for at, of, vectors in ((0, ids, self.vectors), (DIMENSIONS, kinds, self.own)):
                 counts = np.bincount(of)
                 used = np.flatnonzero(counts)
                 row[at : at + DIMENSIONS] = counts[used] @ vectors[used] / n
-            numbers: dict[str, int] = {}
-            same = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, n)
-            row[-3] = np.count_nonzero(same[1:] == same[:-1]) / n
-            row[-2] = np.count_nonzero(same[2:] == same[:-2]) / n
+            row[-3] = sum(map(eq, tokens, islice(tokens, 1, None))) / n
+            row[-2] = sum(map(eq, tokens, islice(tokens, 2, None))) / n
             row[-1] = np.log1p(n) / 10
-        return out
+        return out, lengths
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": None}
@@ -146,17 +148,19 @@ class DocumentClassifier:
             self.constant = counts / counts.sum()
             return
         self.pooled = PooledVectors(texts)
-        x = self.pooled(texts)
+        x, _ = self.pooled(texts)
         self.scale = Standard(x)
         x = self.scale(x)
         held = np.arange(len(y)) % 5 == 4
         self.net = TwoLayers(x[~held], y[~held], n_classes)
         self.temperature = temperature(self.net.logits(x[held]), y[held])
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the classes for each text, and its number of tokens (what stands between white space)."""
         if self.constant is not None:
-            return np.tile(self.constant, (len(texts), 1))
-        return softmax(self.net.logits(self.scale(self.pooled(texts))) / self.temperature)
+            return np.tile(self.constant, (len(texts), 1)), np.array([len(t.split()) for t in texts], np.int64)
+        x, lengths = self.pooled(texts)
+        return softmax(self.net.logits(self.scale(x)) / self.temperature), lengths
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable, rows: int = SAMPLE_ROWS) -> DocumentClassifier:
@@ -166,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable, rows: int = SAMPLE_R
 
 def score_quality(df: DataFrame, model: DocumentClassifier, text_column: str = "text") -> DataFrame:
     """df with ``__quality``, the calibrated probability of label 1; nulls are scored as empty."""
-    return score_column(df, text_column, model, lambda m, texts: [m(texts)[:, 1].astype(np.float64)], "__quality double")
+    return score_column(df, text_column, model, lambda m, texts: [m(texts)[0][:, 1].astype(np.float64)], "__quality double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
