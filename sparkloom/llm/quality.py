@@ -24,10 +24,22 @@ SHAPES = 250
 #: Tokens that are counted at once while learning.
 BLOCK = 500_000
 _RUNS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_]+)|(\d+)").sub
+_CAPITALS = frozenset(map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+_MARKS = frozenset(".,;:!?)")
 
 
 def shape(token: str) -> str:
-    """What kinds of characters follow each other in the token: A a 0 for runs, symbols themselves; six at most."""
+    """What kinds of characters follow each other in the token: A a 0 for runs, symbols themselves; six at most.
+
+    Most tokens are a plain or capitalised word, with or without a mark behind it, and need no pattern.
+    """
+    mark = token[-1] if token[-1] in _MARKS else ""
+    word = token[:-1] if mark else token
+    if word.isalpha():
+        if word[0] not in _CAPITALS:
+            return f"<a{mark}>"
+        if len(word) > 1 and word[1] not in _CAPITALS:
+            return f"<Ta{mark}>"
     return "<" + _RUNS(lambda m: "A" if m[1] and len(m[1]) > 1 else "T" if m[1] else "a" if m[2] else "0", token)[:6] + ">"
 
 
