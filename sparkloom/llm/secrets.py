@@ -53,10 +53,10 @@ def match_spans(text: Column, rule: SecretRule) -> Column:
     span = "array<struct<start:int,end:int>>"
     zero = F.lit(0)
     # An array that grows is copied for each match, so it grows by block: of matches within a block, and of blocks.
-    blocks = F.transform(F.sequence(zero, F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, BLOCK))
-    lengths = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda n, x: n + x["gap"] + F.coalesce(x["size"], zero)))
-    begins = F.aggregate(
-        lengths,
+    cut = lambda p: F.transform(F.sequence(zero, F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, BLOCK))
+    size = lambda b: F.aggregate(b, zero, lambda n, x: n + x["gap"] + F.coalesce(x["size"], zero))
+    begins = lambda blocks: F.aggregate(
+        F.transform(blocks, size),
         F.struct(zero.alias("at"), F.array().cast("array<int>").alias("all")),
         lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
         lambda acc: acc["all"],
@@ -70,7 +70,9 @@ def match_spans(text: Column, rule: SecretRule) -> Column:
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc.getField("found"), one)).otherwise(acc.getField("found")).alias("found"))
 
     within = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(span).alias("found")), step, lambda acc: acc.getField("found"))
-    return F.flatten(F.zip_with(blocks, begins, within))
+    # What a lambda binds is computed once, not once for each use.
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    return once(parts, lambda p: once(cut(p), lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks), within))))
 
 
 def find_secrets(df: DataFrame, text_column: str = "text", rules: list[SecretRule] | None = None) -> DataFrame:
