@@ -24,7 +24,7 @@ SPAN = 8
 #: Recordings align if at an offset they overlap by so many integers, by this share of the shorter one, with
 #: at most so large a share of differing bits. Unrelated melodies and texts differ in 0.30 to 0.35 of the bits, and less
 #: than one in 10,000 of their offsets in 0.12 or less. The landmarks find over nine in ten pairs up to this bound, by
-#: comparison at all offsets; up to 0.06 they would find eight in ten, up to 0.1 less than half.
+#: comparison at all offsets; up to 0.06 they would find eight in ten, up to 0.1 about half.
 LEAST_OVERLAP = 8
 LEAST_SHARE = 0.5
 MOST_ERRORS = 0.04
