@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -599,18 +600,20 @@ FALLBACK = [
 
 def fallback_regions(text: str) -> list[dict]:
     """Regions of other languages: a line that looks like a declaration, up to where its brackets close."""
-    lines, out, at = text.split("\n"), [], 0
-    balance = lambda s: sum(c in "{([" for c in s) - sum(c in "})]" for c in s)
-    while at < len(lines):
-        head = lines[at].strip()
-        hit = None if head == "" or head.startswith(("//", "*", "/*")) else next(((m[1], k) for p, k in FALLBACK if (m := re.match(p, head))), None)
+    lines, out = text.split("\n"), []
+    # open_before[i]: brackets opened less brackets closed in all lines before line i.
+    signs = dict.fromkeys("{([", 1) | dict.fromkeys("})]", -1)
+    open_before = [0, *accumulate(sum(signs.get(c, 0) for c in line) for line in lines)]
+    end = 0
+    for at, line in enumerate(lines):
+        head = line.strip()
+        if at < end or not head or head.startswith(("//", "*", "/*")):
+            continue
+        hit = next(((m[1], kind) for m, kind in ((re.match(p, head), kind) for p, kind in FALLBACK) if m), None)
         if hit is None:
-            at += 1
             continue
-        end, depth = at + 1, balance(lines[at])
-        while end < len(lines) and (depth > 0 or end == at + 1):
-            depth += balance(lines[end])
-            end += 1
+        # A region has two lines at least, and ends with the first one after which no bracket of its own is open.
+        end = next((e for e in range(at + 2, len(lines) + 1) if open_before[e] <= open_before[at]), len(lines))
         body = "\n".join(lines[at:end])
         out.append(
             {
@@ -619,7 +622,6 @@ def fallback_regions(text: str) -> list[dict]:
                 "used": [], "bindings": [], "operators": [], "operands": [], "cognitive": 0, "hook_flags": [], "fingerprints": [],
             }
         )
-        at = end
     return out
 
 
