@@ -87,6 +87,60 @@ def reimport(name: Column, relative: Column) -> Column:
     return F.concat(F.lit("import { "), name, F.lit(" } from '"), relative, F.lit("';"))
 
 
+# Fixed texts: previews and guides of a migration, the name in the place of %s.
+COMPOSABLE = ["export function use%s() {", "  // ASTra extracted related state and watchers into a composable."]
+SERVICE = [
+    "import { Injectable } from '@angular/core';",
+    "",
+    "@Injectable({ providedIn: 'root' })",
+    "export class %s {",
+    "  // Move data loading, orchestration, and transformation logic here.",
+    "}",
+]
+STANDALONE_GUIDE = [
+    "# Standalone migration guide for %s",
+    "",
+    "1. Add standalone: true to the @Component decorator.",
+    "2. Move module dependencies into the component imports array.",
+    "3. Delete the NgModule declaration after the component compiles.",
+    "4. Keep services injectable via providedIn: 'root' or feature providers.",
+]
+COMPOSITION_GUIDE = [
+    "# Vue Composition API migration guide for %s",
+    "",
+    "1. Move data() state into ref() / reactive().",
+    "2. Convert computed options into computed() declarations.",
+    "3. Move watchers into watch() or watchEffect() with cleanup.",
+    "4. Split repeated state or logic into useX() composables.",
+    "5. Keep the template focused on presentation only.",
+]
+MOST_RETURNED = 6
+
+
+def _filled(lines: list[str], name: Column) -> Column:
+    return F.replace(F.lit("\n".join(lines)), F.lit("%s"), name)
+
+
+def composable_preview(name: Column, bindings: Column) -> Column:
+    """A composable that returns the first few distinct bindings."""
+    names = F.slice(F.array_distinct(bindings), 1, MOST_RETURNED)
+    returned = F.when(F.size(names) > 0, F.concat(F.lit("  return { "), F.array_join(names, ", "), F.lit(" };"))).otherwise("  return {};")
+    return F.concat(_filled(COMPOSABLE, name), F.lit("\n"), returned, F.lit("\n}"))
+
+
+def service_preview(name: Column) -> Column:
+    service = F.regexp_replace(name, r"Component\z", "Service")
+    return _filled(SERVICE, F.when(service == "", "ComponentService").otherwise(service))
+
+
+def standalone_guide(name: Column) -> Column:
+    return _filled(STANDALONE_GUIDE, name)
+
+
+def composition_guide(name: Column) -> Column:
+    return _filled(COMPOSITION_GUIDE, name)
+
+
 def svelte_updated_source(retained: Column, imports: Column) -> Column:
     """The retained lines with the imports that their script lacks put at its top; without a script, one goes in front."""
     script = F.array_position(F.transform(retained, lambda x: x.rlike(r"(?i)<script(?![A-Za-z0-9_])")), True)

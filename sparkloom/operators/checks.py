@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.scans import has_event_handlers
 
+DUPLICATE_RULE = "Duplicate Logic Detected"
 CLIENT_RULE = "React Server Component uses client features"
 
 
@@ -31,6 +32,24 @@ def client_features(regions: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("file", F.lit(CLIENT_RULE).alias("name"), F.lit("critical").alias("severity"), "affected")
 
 
+def duplicate_logic(prints: DataFrame) -> DataFrame:
+    """(file, name, severity, groups, affected): files of which several regions share a fingerprint.
+
+    prints(file, region, fingerprint); rows with nulls and repeats don't count. groups is the number of
+    shared fingerprints, affected the regions that have one, sorted.
+    """
+    seen = prints.select("file", "region", "fingerprint").dropna().distinct()
+    shared = seen.groupBy("file", "fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found = seen.join(shared, ["file", "fingerprint"], "left_semi").groupBy("file").agg(F.countDistinct("fingerprint").alias("groups"), F.array_sort(F.collect_set("region")).alias("affected"))
+    return found.select("file", F.lit(DUPLICATE_RULE).alias("name"), F.lit("high").alias("severity"), "groups", "affected")
+
+
+def file_hits(duplicates: DataFrame, hits: DataFrame) -> DataFrame:
+    """(file, name, severity, affected): the hits on whole files, and hits(file, region, name, severity) each with its region."""
+    own = hits.select("file", "name", "severity", F.array("region").alias("affected"))
+    return duplicates.select(own.columns).unionByName(own)
+
+
 def store_stats(entries: DataFrame, now, hits, misses, evictions) -> DataFrame:
     """One row: entries and files of a store(file, last_read), the share of hits, and the mean age in seconds (0 if empty)."""
     age = F.avg(F.unix_timestamp(now) - F.unix_timestamp("last_read"))

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from sparkloom.operators.session import checkpointed
 
 
+def _added(known: DataFrame, fresh: DataFrame, number: int) -> DataFrame:
+    """Both together; each is stored already, so only every sixteenth round writes all again, to keep plans short."""
+    both = known.unionAll(fresh)
+    return checkpointed(both) if number % 16 == 0 else both
+
+
 def distances(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(a, b, d): the least number of edges, at least 1, from a to b, for all b that a reaches.
 
@@ -27,17 +33,58 @@ def distances(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         fresh = checkpointed(onward.join(old, (F.col("a2") == F.col("ka")) & (F.col("b2") == F.col("kb")), "left_anti").select(F.col("a2").alias("a"), F.col("b2").alias("b"), F.lit(d).alias("d")))
         if fresh.isEmpty():
             return known
-        known = checkpointed(known.unionAll(fresh))
+        known = _added(known, fresh, d)
+    raise RuntimeError(f"paths are longer than {max_rounds}")
+
+
+def _spread_least(labels: DataFrame, step: DataFrame, max_rounds: int) -> DataFrame:
+    """labels(node, c) where each node has the least label of all nodes that reach it over step(f, t)."""
+    fresh = labels
+    for _ in range(max_rounds):
+        sent = fresh.toDF("n", "l").join(step, F.col("n") == F.col("f")).groupBy("t").agg(F.min("l").alias("l"))
+        met = labels.join(sent, F.col("node") == F.col("t"), "left").select("node", F.col("c").alias("old"), F.least("c", "l").alias("c"))
+        met = checkpointed(met)
+        labels, fresh = met.select("node", "c"), met.where("c < old").select("node", "c")
+        if fresh.isEmpty():
+            return labels
     raise RuntimeError(f"paths are longer than {max_rounds}")
 
 
-def strong_components(nodes: DataFrame, reach: DataFrame) -> DataFrame:
-    """(node, scc, size): the smallest node that a node reaches and is reached from, or itself. nodes has ``node``."""
-    back = reach.select(F.col("a").alias("ba"), F.col("b").alias("bb"))
-    mutual = reach.join(back, (F.col("a") == F.col("bb")) & (F.col("b") == F.col("ba"))).groupBy("a").agg(F.min("b").alias("m"))
-    labels = nodes.join(mutual, F.col("node") == F.col("a"), "left").select("node", F.least("node", "m").alias("scc"))
-    sizes = labels.groupBy("scc").agg(F.count("*").alias("size")).withColumnRenamed("scc", "s")
-    return labels.join(sizes, F.col("scc") == F.col("s")).select("node", "scc", "size")
+def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, scc, size): the smallest node that a node reaches and is reached from, or itself. nodes has ``node``.
+
+    Each round draws an order of the nodes and colours each with the first that reaches it. What
+    reaches its colour's node within the colour is a component; edges between colours and at found
+    nodes go. Rows stay within nodes and edges: no pairs of nodes that reach each other are made.
+    """
+    open_ = checkpointed(nodes.select("node").distinct())
+    step = checkpointed(edges.select("f", "t").where("f <> t").distinct())
+    known = None
+    for r in range(max_rounds):
+        if open_.isEmpty():
+            break
+        labels = checkpointed(open_.select("node", F.struct(F.xxhash64(F.lit(r), "node"), "node").alias("c")))
+        colours = _spread_least(labels, step, max_rounds)
+        ends = step.join(colours.toDF("fn", "fc"), F.col("f") == F.col("fn")).join(colours.toDF("tn", "tc"), F.col("t") == F.col("tn"))
+        step = checkpointed(ends.where("fc = tc").select("f", "t"))
+        found = checkpointed(colours.where(F.col("c.node") == F.col("node")).select("node", F.col("node").alias("root")))
+        fresh = found
+        while True:
+            back = step.join(fresh.toDF("x", "y"), F.col("t") == F.col("x")).select(F.col("f").alias("node"), F.col("y").alias("root")).distinct()
+            fresh = checkpointed(back.join(found.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti"))
+            if fresh.isEmpty():
+                break
+            found = checkpointed(found.unionAll(fresh))
+        known = found if known is None else known.unionAll(found)
+        gone = found.select(F.col("node").alias("g"))
+        open_ = checkpointed(open_.join(gone, F.col("node") == F.col("g"), "left_anti"))
+        step = checkpointed(step.join(gone, F.col("f") == F.col("g"), "left_anti").join(gone, F.col("t") == F.col("g"), "left_anti"))
+    else:
+        raise RuntimeError("components did not settle")
+    if known is None:
+        known = nodes.select("node", F.col("node").alias("root"))
+    sizes = known.groupBy("root").agg(F.min("node").alias("scc"), F.count("*").alias("size")).withColumnRenamed("root", "s")
+    return known.join(sizes, F.col("root") == F.col("s")).select("node", "scc", "size")
 
 
 def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -82,7 +129,7 @@ def shortest_paths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         )
         if fresh.isEmpty():
             return known
-        known = checkpointed(known.unionAll(fresh))
+        known = _added(known, fresh, d)
     raise RuntimeError(f"paths are longer than {max_rounds}")
 
 

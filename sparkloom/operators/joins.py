@@ -49,11 +49,17 @@ def edge_rank(kind: Column) -> Column:
     return _case({k: i for i, k in enumerate(PRECEDENCE)}, kind, 2)
 
 
+def namespace_of(kind: Column) -> Column:
+    """Interfaces, aliases and enums are types, the rest values."""
+    return F.when(kind.isin("type-block", "enum"), "type").otherwise("value")
+
+
 def aggregate_edges(resolved: DataFrame) -> DataFrame:
     """One edge a (file, f, t): symbols, type, strength and whether it is of types only.
 
     Strength: 0.2 x factor of the target x weight of each usage, summed; if that is 0, 0.2 x factor x
-    symbols; 1 at most, two decimals.
+    symbols; 1 at most, two decimals. An edge of whose usages no kind is known is of types only if all
+    it uses is declared as types.
     """
     factor = F.max(_case(TARGET_FACTOR, F.col("to_kind"), 1.0))
     out = resolved.groupBy("file", "f", "t").agg(
@@ -61,7 +67,7 @@ def aggregate_edges(resolved: DataFrame) -> DataFrame:
         F.min(edge_rank(F.col("kind"))).alias("rank"),
         F.sum(_case(USAGE_WEIGHT, F.col("kind"), 1.0)).alias("weight"),
         factor.alias("factor"),
-        F.bool_and(F.col("kind") == "type").alias("type_only"),
+        F.coalesce(F.bool_and(F.col("kind") == "type"), F.bool_and(namespace_of(F.col("to_kind")) == "type")).alias("type_only"),
     )
     weighted = F.col("weight") * 0.2 * F.col("factor")
     raw = F.when(weighted > 0, weighted).otherwise(F.size("symbols") * 0.2 * F.col("factor"))

@@ -229,7 +229,8 @@ def framework_hits(files: DataFrame, keys: list[str], framework: str) -> DataFra
 def repeated_fragments(lines: DataFrame, region: str, order: str, text: str, width: int = 3, least_length: int = 60) -> DataFrame:
     """(fingerprint, regions, at): windows of so many consecutive lines that occur in more than one region.
 
-    Names and numbers are normalised before hashing, so renamed copies meet. A window is built by
+    Letters are lower-cased and numbers and white space made alike before hashing; names stay, for renamed
+    copies see ``checks.duplicate_logic`` over the parser's fingerprints. A window is built by
     lead() within its region; only digests are shuffled between regions, counted before they meet.
     """
     from pyspark.sql import Window

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.guidance import reimport
 from sparkloom.functions.text import relative_path, strip_extension
-from sparkloom.operators.joins import unbound
+from sparkloom.operators.joins import namespace_of, unbound
 
 
 def exported_symbols(decls: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -35,11 +36,6 @@ def external_packages(usages: DataFrame, imports: DataFrame) -> DataFrame:
     return joined.groupBy("file", "region").agg(F.array_sort(F.collect_set("specifier")).alias("packages"))
 
 
-def namespace_of(kind: Column) -> Column:
-    """Interfaces, aliases and enums are types, the rest values."""
-    return F.when(kind.isin("type-block", "enum"), "type").otherwise("value")
-
-
 def patched_namespaces(decls: DataFrame, resolved_types: DataFrame) -> DataFrame:
     """decls with ``namespace``, overridden by resolved_types(file, name, found): type before both before value."""
     rank = F.when(F.col("found") == "type", 0).when(F.col("found") == "both", 1).otherwise(2)
@@ -70,6 +66,15 @@ def import_path(start: Column, target: Column, folder: str, aliases: list[tuple[
     return F.coalesce(alias_path(F.concat(F.lit(folder.rstrip("/") + "/"), target), aliases), relative_path(start, target))
 
 
+def reimport_lines(planned: DataFrame, folder: str, aliases: list[tuple[str, str]]) -> DataFrame:
+    """(source, file_name, line): the import that brings each region back which goes to a file of its own.
+
+    planned(source, file_name, name, routed): paths below folder; regions routed to existing files need none.
+    """
+    line = reimport(F.col("name"), import_path(F.col("source"), F.col("file_name"), folder, aliases))
+    return planned.where(~F.col("routed")).select("source", "file_name", line.alias("line"))
+
+
 def split_regions(regions: DataFrame, parts: DataFrame, least_lines: int = 15) -> DataFrame:
     """Regions of at least so many lines replaced by their parts, in source order; others stay.
 

@@ -41,14 +41,40 @@ def name_match(name: Column, exports: Column) -> Column:
     return F.exists(exports, lambda e: F.contains(F.lower(e), F.substring(low, 1, 4)) | F.contains(low, F.substring(F.lower(e), 1, 4)))
 
 
+def _kind_points(kind: Column) -> Column:
+    """What a file with the region's kind scores by kind, framework and size."""
+    react = kind.isin("hook", "react-component") & (F.col("framework") == "react")
+    return F.lit(0.3) + F.when(react, 0.1).otherwise(0.0) + F.when(F.col("line_count") < 80, 0.05).otherwise(0.0)
+
+
+def _of_kind(regions: DataFrame, usable: DataFrame, most: int) -> DataFrame:
+    """(region, fp): the first files of a region's kind, ``most`` and one more for each that it is barred from.
+
+    Ranks are limited before they are shuffled; regions meet them by kind and rank, so no region meets all files of a kind.
+    """
+    exporting = usable.select("path", F.explode(F.array_distinct("exports")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("barred"))
+    asked = regions.select("region", F.col("kind").alias("rk"), "name").join(exporting, F.col("name") == F.col("symbol"), "left")
+    asked = asked.select("region", "rk", (F.coalesce("barred", F.lit(0)) + 1 + most).cast("int").alias("depth"))
+    deepest = asked.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return asked.select("region", F.lit(None).cast("string").alias("fp"))
+    listed = usable.select("path", "framework", "line_count", F.explode(F.array_distinct("kinds")).alias("fk"))
+    order = Window.partitionBy("fk").orderBy(F.desc(_kind_points(F.col("fk"))), F.asc("path"))
+    listed = listed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= deepest).select(F.col("path").alias("fp"), "fk", "at")
+    steps = asked.select("region", "rk", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("step"))
+    return steps.join(listed, (F.col("rk") == F.col("fk")) & (F.col("step") == F.col("at"))).select("region", "fp")
+
+
 def merge_suggestions(regions: DataFrame, files: DataFrame, most: int = 3, least: float = 0.25) -> DataFrame:
     """(region, path, score, shared, wouldExceed as ``too_long``, rank): the best existing files for each region.
 
     regions(region, name, kind, used, source_path), files(path, exports, imports, kinds, line_count,
     is_barrel, framework). A file scores 0.25 or more only if something beyond its size speaks for it:
-    a common kind, a similar name, a shared symbol or an import of the name. So candidates are found by
-    equality joins on those (kind; used symbol; pieces of names and specifiers, of four letters or, as
-    shorter names and exports are compared whole, fewer) and only then scored.
+    a common kind, a similar name, a shared symbol or an import of the name. Candidates for the last
+    three are found by equality joins (used symbol; pieces of names and specifiers, of four letters or,
+    as shorter names and exports are compared whole, fewer). A file with nothing but the kind in common
+    has a score that depends on kind and file alone, so of those a region meets the best only: as many
+    as it may keep and as there are files that it is barred from (its own, those that export its name).
     """
     usable = files.where(~F.col("is_barrel") & (F.col("line_count") <= 2000))
     starts = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
@@ -56,7 +82,7 @@ def merge_suggestions(regions: DataFrame, files: DataFrame, most: int = 3, least
     low = F.lower("name")
     keys_r = F.array_distinct(
         F.concat(
-            F.array(F.concat(F.lit("k:"), "kind"), F.concat(F.lit("a:"), F.substring(low, 1, 4))),
+            F.array(F.concat(F.lit("a:"), F.substring(low, 1, 4))),
             F.transform("used", lambda u: F.concat(F.lit("s:"), u)),
             F.transform(pieces(low), lambda p: F.concat(F.lit("b:"), p)),
             F.array(F.concat(F.lit("i:"), F.substring(low, 1, 4))),
@@ -65,7 +91,6 @@ def merge_suggestions(regions: DataFrame, files: DataFrame, most: int = 3, least
     lows = F.transform("exports", lambda e: F.lower(e))
     keys_f = F.array_distinct(
         F.concat(
-            F.transform("kinds", lambda k: F.concat(F.lit("k:"), k)),
             F.flatten(F.transform(lows, lambda e: F.transform(pieces(e), lambda p: F.concat(F.lit("a:"), p)))),
             F.transform("exports", lambda e: F.concat(F.lit("s:"), e)),
             F.transform(lows, lambda e: F.concat(F.lit("b:"), F.substring(e, 1, 4))),
@@ -74,7 +99,8 @@ def merge_suggestions(regions: DataFrame, files: DataFrame, most: int = 3, least
     )
     left = regions.select("region", F.explode(keys_r).alias("key"))
     right = usable.select(F.col("path").alias("fp"), F.explode(keys_f).alias("fkey"))
-    pairs = left.join(right, F.col("key") == F.col("fkey")).select("region", "fp").distinct()
+    pairs = left.join(right, F.col("key") == F.col("fkey")).select("region", "fp")
+    pairs = pairs.unionAll(_of_kind(regions, usable, most)).distinct()
     r = regions.select(F.col("region").alias("r"), "name", F.col("kind"), "used", "source_path")
     both = pairs.join(r, F.col("region") == F.col("r")).join(usable, F.col("fp") == F.col("path"))
     both = both.where((F.col("path") != F.col("source_path")) & ~F.array_contains("exports", F.col("name")))

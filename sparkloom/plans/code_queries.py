@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics, text
-from sparkloom.operators import aggregates, joins, rules
+from sparkloom.operators import aggregates, checks, joins, rules, symbols
 from sparkloom.operators.session import shared_folder
 from sparkloom.plans.registry import Registry, table
 from sparkloom.plans.workspace_queries import _FILES_SQL, _files
@@ -118,3 +118,67 @@ def stream_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return saves.run_to_end(saves.cache_hits(stream, "user_id", "ts", "event_id", "event_type"), shared_folder(spark))
+
+
+_HOLDERS = [
+    # An object: two functions, of which one has a doc comment, and members that are none.
+    "export const api{0} = {\n  base: '/v{0}',\n  /** Gets one.\n   *  @returns it */\n  get{0}: async (id: string) => {\n    const r = await fetch(id);\n    return r.json();\n  },\n"
+    "  'put-it': function (x) {\n    return useThing(x);\n  },\n  short() { return 1; },\n  [computed]: () => 2,\n  nested: { deep: () => 3 },\n  list: [() => 4],\n};\n",
+    # A namespace: an exported and an inner function, a constant and one that holds a function.
+    "namespace Fmt{0} {\n  const unit = {0};\n\n  export function money(n: number) {\n    return n * unit;\n  }\n\n  export const withTax = (n: number) => {\n    return n + unit;\n  };\n\n"
+    "  function hidden() {\n    return 0;\n  }\n}\n",
+    # One function only, however long, and a short object.
+    "export const one{0} = {\n  a: () => {\n" + "    step();\n" * 15 + "  },\n};\nexport const few{0} = { a: () => 1, b: () => 2 };\n",
+    # A component, a provider and a hook; JSX alone would make all of it a component, which stays whole.
+    "const views{0} = {\n" + "  // view\n" * 12 + "  Row: () => <tr><td>{x}</td></tr>,\n  rowProvider: (x) => x,\n  useRow: () => useState(1),\n};\n",
+]
+
+
+def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with an object or namespace of functions for each customer; its form goes by the key."""
+    key = F.col("c_custkey")
+    code = F.element_at(F.array(*[F.replace(F.lit(h), F.lit("{0}"), key.cast("string")) for h in _HOLDERS]), (key % 4 + 1).cast("int"))
+    return parse.parse_files(table(spark, sf_dir, "customer").select(key.cast("string").alias("file_id"), F.lit("holder.tsx").alias("path"), code.alias("text")))
+
+
+_PARTS_SQL = """parts AS (SELECT * FROM (VALUES
+ (0, 0, 'get#', 'utility-function', 3, 8, true, false, false, true), (0, 1, 'put-it', 'utility-function', 9, 11, true, false, true, false),
+ (1, 0, 'Fmt#.money', 'utility-function', 4, 6, true, false, false, false), (1, 1, 'Fmt#.withTax', 'hoc', 8, 10, true, false, false, false), (1, 2, 'Fmt#.hidden', 'utility-function', 12, 14, false, false, false, false),
+ (3, 0, 'Row', 'react-component', 14, 14, false, true, false, false), (3, 1, 'rowProvider', 'context-provider', 15, 15, false, false, false, false), (3, 2, 'useRow', 'hook', 16, 16, false, false, true, false)
+) AS v(form, ordinal, name, kind, start_line, end_line, exported, has_jsx, has_hooks, has_async))"""
+
+
+@R.add(f"""WITH {_PARTS_SQL} SELECT CAST(c_custkey AS VARCHAR) AS file, CAST(ordinal AS BIGINT) AS ordinal, replace(name, '#', CAST(c_custkey AS VARCHAR)) AS name, kind, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, exported, has_jsx, has_hooks, has_async
+FROM customer JOIN parts ON c_custkey % 4 = form""")
+def parsed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of objects and namespaces as regions of their own."""
+    regions = parse.regions_of(_holders(spark, sf_dir)).withColumn("path", F.lit("holder.tsx"))
+    return parse.parts_of(regions).select("file", "ordinal", "name", "kind", "start_line", "end_line", "exported", "has_jsx", "has_hooks", "has_async")
+
+
+@R.add(f"""WITH {_PARTS_SQL}, k AS (SELECT c_custkey AS c, CAST(c_custkey AS VARCHAR) AS file FROM customer)
+SELECT file, replace(name, '#', file) AS name FROM k JOIN parts ON c % 4 = form UNION ALL SELECT file, unnest(['one', 'few']) || file FROM k WHERE c % 4 = 2""")
+def replaced_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of each file, those that hold several functions replaced by them."""
+    regions = parse.regions_of(_holders(spark, sf_dir)).withColumns({"path": F.lit("holder.tsx"), "lines": F.col("end_line") - F.col("start_line") + 1})
+    parts = parse.parts_of(regions).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
+    return symbols.split_regions(regions.select("file", "ordinal", "name", "lines"), parts).select("file", "name")
+
+
+_COPIES = [
+    # Renamed copies with other literals; copies but for an operator; runs of only two statements.
+    ("const total = price * {0};\n  const label = 'total of the order';\n  report(total, label);", "const sum = cost * 77;\n  const name = 'another text altogether';\n  print(sum, name);"),
+    ("const total = price * {0};\n  const label = 'total of the order';\n  report(total, label);", "const sum = cost + 77;\n  const name = 'another text altogether';\n  print(sum, name);"),
+    ("const total = price * {0} + 'a long text to pass the bound of sixty';\n  report(total);", "const sum = cost * 77 + 'a long text to pass the bound of sixty';\n  print(sum);"),
+]
+
+
+@R.add("""SELECT CAST(c_custkey AS VARCHAR) AS file, 'Duplicate Logic Detected' AS name, 'high' AS severity, CAST(1 AS BIGINT) AS groups, 'left,right' AS affected FROM customer WHERE c_custkey % 3 = 0""")
+def parsed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of a file that share statements up to names and literals."""
+    key = F.col("c_custkey")
+    files = [f"function left() {{\n  {a}\n}}\nfunction right() {{\n  {b}\n}}\n" for a, b in _COPIES]
+    code = F.element_at(F.array(*[F.replace(F.lit(t), F.lit("{0}"), key.cast("string")) for t in files]), (key % 3 + 1).cast("int"))
+    parsed = parse.parse_files(table(spark, sf_dir, "customer").select(key.cast("string").alias("file_id"), F.lit("copy.ts").alias("path"), code.alias("text")))
+    prints = parse.regions_of(parsed).select("file", F.col("name").alias("region"), F.explode("fingerprints").alias("fingerprint"))
+    return checks.duplicate_logic(prints).withColumn("affected", F.array_join("affected", ","))

@@ -30,14 +30,14 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"WITH RECURSIVE {TRADE_SQL}, {_REACH_SQL}, {_SCC_SQL} SELECT CAST(node AS BIGINT) AS node, CAST(scc AS BIGINT) AS scc, CAST(size AS BIGINT) AS size FROM scc")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strong_components(standins.nodes(spark, sf_dir), graph.distances(standins.edges(spark, sf_dir)))
+    return graph.strong_components(standins.nodes(spark, sf_dir), standins.edges(spark, sf_dir))
 
 
 @R.add(f"""WITH RECURSIVE {TRADE_SQL}, {_REACH_SQL}, {_SCC_SQL}
 SELECT CAST(f AS BIGINT) AS f, CAST(t AS BIGINT) AS t, f IN (SELECT node FROM scc WHERE size > 1) AND t IN (SELECT node FROM scc WHERE size > 1) AS is_cyclic FROM edges""")
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = standins.edges(spark, sf_dir)
-    return graph.cyclic_edges(edges, graph.strong_components(standins.nodes(spark, sf_dir), graph.distances(edges)))
+    return graph.cyclic_edges(edges, graph.strong_components(standins.nodes(spark, sf_dir), edges))
 
 
 @R.add(f"""WITH RECURSIVE {TRADE_SQL}, dag AS (SELECT f, t FROM edges WHERE f < t),
@@ -258,3 +258,12 @@ def cochange_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edges.select("f", "t", F.lit("call").alias("edge_type"), F.lit(0.7).alias("strength"))
     found = joins.upsert_cochange(edges, joins.cochange_pairs(_history(spark, sf_dir), 0.40).select("a", "b", "coupling"))
     return found.select("f", "t", "edge_type", half_up(F.col("strength"), 4).alias("strength"), half_up(F.col("cochange"), 4).alias("cochange"))
+
+
+@R.add(f"""WITH {USAGES_SQL} SELECT f, t, CASE f % 2 WHEN 0 THEN bool_and(to_kind IN ('type-block', 'enum')) ELSE bool_and(kind = 'type') END AS type_only FROM resolved GROUP BY f, t""")
+def type_only_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of types only, by the kinds of usages or, where none is known, by what they use."""
+    used = standins.usages(spark, sf_dir)
+    unknown = used.withColumn("kind", F.when(F.col("region") % 2 == 1, F.col("kind")))
+    found = joins.aggregate_edges(joins.resolve_usages(unknown, standins.bindings(used), standins.decls(spark, sf_dir)))
+    return found.select("f", "t", "type_only")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import guidance
+from sparkloom.functions import generate, guidance
 from sparkloom.functions.numeric import half_up
-from sparkloom.operators import checks
+from sparkloom.operators import checks, symbols
 from sparkloom.plans.registry import Registry, table
 
 R = Registry(doubles=True)
@@ -99,3 +99,53 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("ts").alias("last_read"))
     found = checks.store_stats(entries, F.lit("2030-01-01").cast("timestamp"), F.lit(30), F.lit(10), F.lit(2))
     return found.withColumn("mean_age", half_up(F.col("mean_age"), 0))
+
+
+@R.add("""WITH k AS (SELECT p_partkey AS k, 'Part' || p_partkey AS n, p_partkey % 4 AS s FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 7 = 0 THEN 'import { describe, it, expect, vi } from ''vitest'';' || chr(10) ELSE '' END
+ || CASE WHEN k % 5 = 0 THEN 'import { render, screen } from ''@testing-library/react'';' || chr(10) ELSE '' END
+ || CASE WHEN k % 3 = 0 THEN 'import { renderHook, act } from ''@testing-library/react'';' || chr(10) ELSE '' END
+ || 'import ' || CASE WHEN k % 2 = 0 THEN n ELSE '{ ' || n || ' }' END || ' from ''./' || n || ''';' || chr(10) || chr(10) || 'describe(''' || n || ''', () => {' || chr(10)
+ || CASE WHEN s < 2 THEN '  it(''works correctly'', () => {' || chr(10) || '    expect(' || n || ').toBeDefined();' || chr(10) || '  });'
+   ELSE array_to_string(list_transform(range(1, s), lambda i: '  it(''case ' || i || ''', () => {' || chr(10) || '    // TODO: implement test' || chr(10) || '    expect(true).toBe(true);' || chr(10) || '  });'), chr(10) || chr(10)) END
+ || chr(10) || '});' || chr(10) AS text FROM k""")
+def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("Part"), k.cast("string"))
+    cases = F.transform(F.sequence(F.lit(1), (k % 4 - 1).cast("int")), lambda i: F.concat(F.lit("case "), i.cast("string")))
+    cases = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 > 1, cases)
+    kind = F.when(k % 3 == 0, "hook").otherwise("utility-function")
+    text = generate.test_file(name, kind, k % 2 == 0, k % 5 == 0, cases, F.when(k % 7 == 0, "vitest").otherwise("jest"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+
+
+_GUIDES_SQL = {f: "'" + "' || chr(10) || '".join(line.replace("'", "''").replace("%s", "' || n || '") for line in lines) + "'" for f, lines in (("standalone", guidance.STANDALONE_GUIDE), ("composition", guidance.COMPOSITION_GUIDE))}
+
+
+@R.add(f"""WITH k AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'Component' WHEN 1 THEN 'Part' || p_partkey || 'Component' ELSE 'ComponentPart' || p_partkey END AS n, list_transform(range(1, p_partkey % 12), lambda i: 'b' || (i * i) % 11) AS l FROM part),
+d AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS u FROM k)
+SELECT k AS p_partkey, {_GUIDES_SQL['standalone']} AS standalone, {_GUIDES_SQL['composition']} AS composition,
+ 'export function use' || n || '() {{' || chr(10) || '  // ASTra extracted related state and watchers into a composable.' || chr(10) || CASE WHEN len(u) = 0 THEN '  return {{}};' ELSE '  return {{ ' || array_to_string(u, ', ') || ' }};' END || chr(10) || '}}' AS composable,
+ 'import {{ Injectable }} from ''@angular/core'';' || chr(10) || chr(10) || '@Injectable({{ providedIn: ''root'' }})' || chr(10) || 'export class '
+  || CASE k % 3 WHEN 0 THEN 'Service' WHEN 1 THEN 'Part' || k || 'Service' ELSE n END || ' {{' || chr(10) || '  // Move data loading, orchestration, and transformation logic here.' || chr(10) || '}}' AS service FROM d""")
+def migration_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, "Component").when(k % 3 == 1, F.concat(F.lit("Part"), k.cast("string"), F.lit("Component"))).otherwise(F.concat(F.lit("ComponentPart"), k.cast("string")))
+    bindings = F.transform(F.sequence(F.lit(1), F.greatest(k % 12 - 1, F.lit(1))), lambda i: F.concat(F.lit("b"), (i * i % 11).cast("string")))
+    bindings = F.when(k % 12 > 1, bindings).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", guidance.standalone_guide(name).alias("standalone"), guidance.composition_guide(name).alias("composition"),
+        guidance.composable_preview(name, bindings).alias("composable"), guidance.service_preview(name).alias("service"),
+    )
+
+
+@R.add("""WITH r AS (SELECT page_id AS i, CASE page_id % 2 WHEN 0 THEN 'main.ts' ELSE 'deep/down/main.ts' END AS source, CASE page_id % 3 WHEN 0 THEN 'hooks/useR' || page_id || '.ts' WHEN 1 THEN 'R' || page_id || '.tsx' ELSE 'deep/R' || page_id || '.js' END AS file_name FROM pages WHERE page_id % 5 <> 0)
+SELECT source, file_name, 'import { R' || i || ' } from ''' || CASE i % 3 WHEN 0 THEN '@hooks/useR' || i
+ WHEN 1 THEN CASE i % 2 WHEN 0 THEN './R' ELSE '../../R' END || i ELSE CASE i % 2 WHEN 0 THEN './deep/R' ELSE '../R' END || i END || ''';' AS line FROM r""")
+def reimport_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    text = i.cast("string")
+    file_name = F.when(i % 3 == 0, F.concat(F.lit("hooks/useR"), text, F.lit(".ts"))).when(i % 3 == 1, F.concat(F.lit("R"), text, F.lit(".tsx"))).otherwise(F.concat(F.lit("deep/R"), text, F.lit(".js")))
+    source = F.when(i % 2 == 0, "main.ts").otherwise("deep/down/main.ts")
+    planned = table(spark, sf_dir, "pages").select(source.alias("source"), file_name.alias("file_name"), F.concat(F.lit("R"), text).alias("name"), (i % 5 == 0).alias("routed"))
+    return symbols.reimport_lines(planned, "src", [("@hooks/*", "src/hooks/*")])

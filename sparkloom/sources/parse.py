@@ -28,6 +28,10 @@ regions array<struct<ordinal:int,name:string,kind:string,start_line:int,end_line
 imports array<struct<specifier:string,alias:string,name:string,form:string,line:int,statement:string>>"""
 
 
+PARTS_SCHEMA = "file string, parent int, ordinal int, name string, kind string, start_line int, end_line int, exported boolean, has_jsx boolean, has_hooks boolean, has_async boolean, text string"
+LEAST_SPLIT_LINES = 15
+
+
 def classify(name: str, jsx: bool, hooks: bool) -> str:
     if name.endswith("$") and (jsx or hooks):
         return "react-component" if jsx else "hook"
@@ -625,6 +629,101 @@ def fallback_regions(text: str) -> list[dict]:
     return out
 
 
+def classify_part(name: str, jsx: bool) -> str:
+    """The kind of a function inside an object or namespace; hooks go by their name alone."""
+    for pattern, kind in (("use[A-Z]", "hook"), ("with[A-Z]", "hoc"), (".*Provider$", "context-provider")):
+        if re.match(pattern, name):
+            return kind
+    return "react-component" if jsx and re.match("[A-Z]", name) else "utility-function"
+
+
+def _split_at_commas(tokens: list[Token]) -> Iterator[list[Token]]:
+    start, depth = 0, 0
+    for i, t in enumerate([*tokens, Token(OPERATOR, ",", 0, 0, 0)]):
+        if t.kind == OPERATOR:
+            depth += (t.text in _OPEN) - (t.text in _CLOSE)
+            if depth == 0 and t.text == ",":
+                if tokens[start:i]:
+                    yield tokens[start:i]
+                start = i + 1
+
+
+def _object_functions(members: list[Token]) -> Iterator[tuple[str, None, list[Token]]]:
+    """(name, None, tokens) of the members of an object that are written as a key with a function."""
+    for m in _split_at_commas(members):
+        if len(m) > 2 and m[0].kind in (NAME, STRING) and m[1].text == ":" and _is_function(m[2:]):
+            yield m[0].text if m[0].kind == NAME else m[0].text[1:-1], None, m
+
+
+def _namespace_functions(body: list[Token]) -> Iterator[tuple[str, bool, list[Token]]]:
+    """(name, whether it is exported, tokens) of the statements of a namespace that declare a function."""
+    for a, z in _statements(body):
+        head = _head(body, a)
+        rest, exported = body[head:z], any(t.text == "export" for t in body[a:head])
+        if len(rest) > 1 and rest[0].text == "function":
+            found = [rest[1].text] if rest[1].kind == NAME else []
+        elif rest and rest[0].text in ("const", "let", "var"):
+            found = [name for name, init, _ in _declarators(rest[1:]) if _is_function(init)]
+        else:
+            found = []
+        if found:
+            yield found[-1], exported, body[a:z]
+
+
+def region_parts(name: str, kind: str, path: str, text: str, exported: bool) -> list[dict]:
+    """The functions of a region that is an object or namespace of at least two, with their lines in its text.
+
+    Regions of other kinds or of fewer than LEAST_SPLIT_LINES lines have none. A part begins with its doc comment.
+    """
+    if kind not in ("utility-function", "namespace", "constant-block") or text.count("\n") + 1 < LEAST_SPLIT_LINES:
+        return []
+    scan = Scanner(text, path.rsplit(".", 1)[-1].lower() in ("tsx", "jsx", "js", "mjs", "cjs"))
+    tokens, lines, found = scan.tokens, text.split("\n"), []
+    for a, z in _statements(tokens):
+        rest = tokens[_head(tokens, a) : z]
+        if kind == "namespace":
+            if len(rest) > 2 and rest[0].text in ("namespace", "module") and rest[2].text == "{":
+                body = rest[3 : _match(rest, 2)]
+                found = list(_namespace_functions(body)) if len(list(_statements(body))) > 1 else []
+        elif rest and rest[0].text in ("const", "let", "var"):
+            for _, init, _ in _declarators(rest[1:]):
+                if init and init[0].text == "{":
+                    found = list(_object_functions(init[1 : _match(init, 0)]))
+    if len(found) < 2:
+        return []
+    out = []
+    for part, own, toks in found:
+        before = max([t.end for t in tokens if t.end <= toks[0].start], default=0)
+        doc = next((c for c, end in scan.comments if before <= c and end <= toks[0].start and text.startswith("/**", c)), toks[0].start)
+        first, last = scan.line(doc), scan.line(toks[-1].end - 1)
+        source = "\n".join(lines[first - 1 : last])
+        jsx = any(t.kind == JSX for t in toks)
+        out.append(
+            {
+                "ordinal": len(out), "name": f"{name}.{part}" if kind == "namespace" else part, "kind": classify_part(part, jsx), "start_line": first, "end_line": last, "exported": exported if own is None else own, "has_jsx": jsx,
+                "has_hooks": bool(re.search(r"\buse[A-Z]", source, re.A)), "has_async": bool(re.search(r"\b(async|await)\b", source, re.A)), "text": source,
+            }
+        )
+    return out
+
+
+def parts_of(regions: DataFrame) -> DataFrame:
+    """(file, parent, ordinal, name, kind, start_line, ...) of the parts of regions(file, region, path, name, kind, start_line, exported, text); lines are those of the file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(i, 64).to_pylist():
+                    for p in region_parts(r["name"] or "", r["kind"] or "", r["path"] or "", r["text"] or "", bool(r["exported"])):
+                        up = (r["start_line"] or 1) - 1
+                        rows.append({"file": r["file"], "parent": r["region"], **p, "start_line": p["start_line"] + up, "end_line": p["end_line"] + up})
+                yield pa.RecordBatch.from_pylist(rows, schema=PARTS_ARROW)
+
+    large = regions.where(F.col("kind").isin("utility-function", "namespace", "constant-block"))
+    return large.select(F.col("file").cast("string"), "region", "path", "name", "kind", "start_line", "exported", "text").mapInArrow(run, PARTS_SCHEMA)
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """files(file_id, path, text) parsed, one row a file; nulls are empty files. Files are parsed one by one, so memory follows the largest."""
 
@@ -649,6 +748,12 @@ _REGION = pa.struct(
     ]
 )
 _IMPORT = pa.struct([("specifier", pa.string()), ("alias", pa.string()), ("name", pa.string()), ("form", pa.string()), ("line", pa.int32()), ("statement", pa.string())])
+PARTS_ARROW = pa.schema(
+    [
+        ("file", pa.string()), ("parent", pa.int32()), ("ordinal", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
+        ("exported", pa.bool_()), ("has_jsx", pa.bool_()), ("has_hooks", pa.bool_()), ("has_async", pa.bool_()), ("text", pa.string()),
+    ]
+)
 ARROW = pa.schema([("file_id", pa.string()), ("engine", pa.string()), ("regions", pa.list_(_REGION)), ("imports", pa.list_(_IMPORT))])
 
 

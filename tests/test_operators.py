@@ -46,7 +46,7 @@ def test_graph_against_brute_force(spark, seed):
     want = reach(pairs)
     dist = graph.distances(edges)
     assert {(r.a, r.b) for r in dist.collect()} == want
-    scc = {r.node: r.scc for r in graph.strong_components(nodes, dist).collect()}
+    scc = {r.node: r.scc for r in graph.strong_components(nodes, edges).collect()}
     assert scc == {n: min([n, *[m for m in range(10) if (n, m) in want and (m, n) in want]]) for n in range(10)}
     for r in graph.shortest_paths(edges).collect():
         assert len(r.path) == r.d + 1 and all(p in pairs for p in zip(r.path, r.path[1:])) and (r.path[0], r.path[-1]) == (r.a, r.b)
