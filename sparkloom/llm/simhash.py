@@ -87,9 +87,17 @@ def block_keys(fp: Column, max_distance: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *table_[a], *table_[b]) for i, (a, b) in enumerate(combinations(range(max_distance + 2), 2))])
 
 
+def pivot_table(fp: Column) -> Column:
+    """ARRAY<BIGINT>: the distances to all pivots, eight of one byte each to a number; computed once for a fingerprint and stored beside it."""
+    found = pivot_coordinates(fp)
+    packed = lambda part: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.cast("bigint"), 8 * i) for i, c in enumerate(part)])
+    return F.array(*[packed(found[i : i + 8]) for i in range(0, len(found), 8)])
+
+
 def near_pivots(x: Column, y: Column, max_distance: int) -> Column:
-    """Whether no pivot coordinate differs by more than max_distance."""
-    return reduce(lambda a, b: a & b, [F.abs(p - q) <= max_distance for p, q in zip(pivot_coordinates(x), pivot_coordinates(y))])
+    """Whether no coordinate of two pivot tables differs by more than max_distance."""
+    at = lambda t, i: F.shiftright(F.get(t, F.lit(i // 8)), 8 * (i % 8)).bitwiseAND(F.lit(255).cast("bigint"))
+    return reduce(lambda a, b: a & b, [F.abs(at(x, i) - at(y, i)) <= max_distance for i in range(len(PIVOTS))])
 
 
 def fingerprint_links(nodes: DataFrame, max_distance: int) -> DataFrame:
@@ -103,13 +111,15 @@ def fingerprint_links(nodes: DataFrame, max_distance: int) -> DataFrame:
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance is 0, 1 or 2")
-    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), max_distance)).alias("key"))
+    tabled = nodes.select("fp", pivot_table(F.col("fp")).alias("table"))
+    keyed = tabled.select("fp", "table", F.explode(block_keys(F.col("fp"), max_distance)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    members = settle(keyed.join(sizes, F.col("key") == F.col("k")).select("key", "fp", "n"))
+    members = settle(keyed.join(sizes, F.col("key") == F.col("k")).select("key", "fp", "table", "n"))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_distance
-    few = members.where(F.col("n") <= PAIRED_BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b")).where("a < b")
-    pairs = pairs.where(near_pivots(F.col("a"), F.col("b"), max_distance)).where(near(F.col("a"), F.col("b")))
+    few = members.where(F.col("n") <= PAIRED_BUCKET).groupBy("key").agg(F.collect_list(F.struct("fp", "table")).alias("all"))
+    pairs = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.fp < y.fp")
+    pairs = pairs.where(near_pivots(F.col("x.table"), F.col("y.table"), max_distance)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = pairs.where(near(F.col("a"), F.col("b")))
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(signed(1 << i)) for i in range(BITS)])
     many = members.where(F.col("n") > PAIRED_BUCKET).select("fp").distinct()
     meets = many.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("at"))

@@ -142,6 +142,17 @@ def test_simhash_equals_brute_force(spark, tmp_path):
     assert {i: (r.fingerprint, r.component_id) for i, r in rows.items()} == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
 
 
+def test_pivot_tables_hold_all_distances(spark):
+    rng = random.Random(4)
+    some = [0, 2**64 - 1, *(rng.getrandbits(64) for _ in range(6))]
+    some += [some[2] ^ 5, some[3] ^ (1 << 63)]
+    rows = [(simhash.signed(a), simhash.signed(b)) for a in some for b in some]
+    apart = lambda a, b: max(abs(((a ^ p) % 2**64).bit_count() - ((b ^ p) % 2**64).bit_count()) for p in simhash.PIVOTS)
+    for most in (0, 2, 64):
+        near = simhash.near_pivots(simhash.pivot_table(F.col("a")), simhash.pivot_table(F.col("b")), most)
+        assert all(r.near == (apart(r.a, r.b) <= most) for r in spark.createDataFrame(rows, "a bigint, b bigint").withColumn("near", near).collect())
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2])
 def test_fingerprint_links_connect_all_and_only_near_ones(spark, distance):
     rng = random.Random(distance)
