@@ -66,6 +66,18 @@ def own_label_sample(docs: DataFrame, label: str, usable: Column, rows: int = SA
     return _texts(once, ["text", label], [F.col("__turn"), F.col("__digest"), F.col(label)], chars)
 
 
+_LATEST: list[object] = []
+
+
+def only_latest(model: object) -> object:
+    """model, the one whose word cache this worker keeps: those of earlier models, which a reused worker still holds, are emptied."""
+    if not _LATEST or _LATEST[0] is not model:
+        for old in _LATEST:
+            old.forget()
+        _LATEST[:] = [model] if hasattr(model, "forget") else []
+    return model
+
+
 def score_column(
     df: DataFrame, text_column: str, model: object, score: Callable[[object, list[str]], list[np.ndarray]], fields: str, chunk: int = 256
 ) -> DataFrame:
@@ -87,10 +99,11 @@ def score_column(
     schema = out.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = only_latest(sent.value)
         for whole in batches:
             for i in range(0, whole.num_rows, chunk):
                 part = whole.slice(i, chunk)
-                found = score(sent.value, [t or "" for t in part.column(at).to_pylist()])
+                found = score(held, [t or "" for t in part.column(at).to_pylist()])
                 columns = [*part.columns, *[pa.array(x) for x in found]]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 

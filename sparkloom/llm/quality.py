@@ -139,6 +139,9 @@ class PooledVectors:
             row[-1] = np.log1p(n) / 10
         return out, lengths
 
+    def forget(self) -> None:
+        self._cache.clear()
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": None}
 
@@ -174,6 +177,10 @@ class DocumentClassifier:
         x, lengths = self.pooled(texts)
         return softmax(self.net.logits(self.scale(x)) / self.temperature), lengths
 
+    def forget(self) -> None:
+        if self.constant is None:
+            self.pooled.forget()
+
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable, rows: int = SAMPLE_ROWS) -> DocumentClassifier:
     sample = labelled_sample(docs, labels, ["quality"], usable, rows)

@@ -20,7 +20,7 @@ LEAST_ODDS = 2.0
 FUZZY_LENGTH = 5
 #: Words on either side of a term that make up its context.
 CONTEXT = 10
-CACHE = 400_000
+CACHE = 150_000
 _WORDS = re.compile(r"[^\W_]+").findall
 _QUOTES = "\"“”«»„‟"
 _REPORTED = re.compile(r"(?<![^\W_])(said|says|wrote|quoted?|called|dit|écrit|sagte|schrieb|dijo|escribió)(?![^\W_])", re.I)
@@ -94,6 +94,9 @@ class Automaton:
         met = [x for x in met if x[0] == 0 or len(x[2]) >= FUZZY_LENGTH]
         return (min(met)[2], min(met)[0]) if met else None
 
+    def forget(self) -> None:
+        self._cache.clear()
+
     def __getstate__(self) -> dict:
         return {"terms": self.terms}
 
