@@ -88,7 +88,7 @@ def reimport(name: Column, relative: Column) -> Column:
 
 
 # Fixed texts: previews and guides of a migration, the name in the place of %s.
-COMPOSABLE = ["export function use%s() {", "  // ASTra extracted related state and watchers into a composable."]
+COMPOSABLE = ["export function use%s() {", "  // Related state and watchers, extracted into a composable."]
 SERVICE = [
     "import { Injectable } from '@angular/core';",
     "",

@@ -125,7 +125,7 @@ _GUIDES_SQL = {f: "'" + "' || chr(10) || '".join(line.replace("'", "''").replace
 @R.add(f"""WITH k AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'Component' WHEN 1 THEN 'Part' || p_partkey || 'Component' ELSE 'ComponentPart' || p_partkey END AS n, list_transform(range(1, p_partkey % 12), lambda i: 'b' || (i * i) % 11) AS l FROM part),
 d AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS u FROM k)
 SELECT k AS p_partkey, {_GUIDES_SQL['standalone']} AS standalone, {_GUIDES_SQL['composition']} AS composition,
- 'export function use' || n || '() {{' || chr(10) || '  // ASTra extracted related state and watchers into a composable.' || chr(10) || CASE WHEN len(u) = 0 THEN '  return {{}};' ELSE '  return {{ ' || array_to_string(u, ', ') || ' }};' END || chr(10) || '}}' AS composable,
+ 'export function use' || n || '() {{' || chr(10) || '  // Related state and watchers, extracted into a composable.' || chr(10) || CASE WHEN len(u) = 0 THEN '  return {{}};' ELSE '  return {{ ' || array_to_string(u, ', ') || ' }};' END || chr(10) || '}}' AS composable,
  'import {{ Injectable }} from ''@angular/core'';' || chr(10) || chr(10) || '@Injectable({{ providedIn: ''root'' }})' || chr(10) || 'export class '
   || CASE k % 3 WHEN 0 THEN 'Service' WHEN 1 THEN 'Part' || k || 'Service' ELSE n END || ' {{' || chr(10) || '  // Move data loading, orchestration, and transformation logic here.' || chr(10) || '}}' AS service FROM d""")
 def migration_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
