@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import incremental, workspace
+from sparkloom.operators.session import checkpointed
 from sparkloom.plans.registry import Registry, table
 from sparkloom.sources import scans
 
@@ -102,6 +103,7 @@ def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(kinds, (id_ % 3 + 1).cast("int")).alias("kinds"), (id_ % 120).alias("line_count"), (id_ % 11 == 0).alias("is_barrel"),
         F.when(id_ % 2 == 0, "react").otherwise("none").alias("framework"), "page_id",
     )
+    files = checkpointed(files)  # The links are read once for both sides.
     own = F.element_at(F.array(*[F.lit(k) for k in ("hook", "react-component", "class", "utility-function", "enum")]), (id_ % 5 + 1).cast("int"))
     regions = files.select(
         F.col("page_id").alias("region"), F.element_at("exports", 1).alias("name"), own.alias("kind"), F.slice("exports", 2, 4).alias("used"), F.col("path").alias("source_path")
