@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import metrics, text
-from sparkloom.operators import aggregates, checks, joins, rules, symbols
+from sparkloom.operators import aggregates, checks, joins, rules
 from sparkloom.operators.session import shared_folder
 from sparkloom.plans.registry import Registry, table
 from sparkloom.plans.workspace_queries import _FILES_SQL, _files
@@ -134,11 +134,17 @@ _HOLDERS = [
 ]
 
 
-def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Files that a task parses; a small table of keys is few partitions and much work.
+FILES_A_TASK = 2000
+
+
+def _holder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file with an object or namespace of functions for each customer; its form goes by the key."""
     key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(key)
+    customers = customers.repartition(customers.count() // FILES_A_TASK + 1)
     code = F.element_at(F.array(*[F.replace(F.lit(h), F.lit("{0}"), key.cast("string")) for h in _HOLDERS]), (key % 4 + 1).cast("int"))
-    return parse.parse_files(table(spark, sf_dir, "customer").select(key.cast("string").alias("file_id"), F.lit("holder.tsx").alias("path"), code.alias("text")))
+    return customers.select(key.cast("string").alias("file_id"), F.lit("holder.tsx").alias("path"), code.alias("text"))
 
 
 _PARTS_SQL = """parts AS (SELECT * FROM (VALUES
@@ -152,7 +158,7 @@ _PARTS_SQL = """parts AS (SELECT * FROM (VALUES
 FROM customer JOIN parts ON c_custkey % 4 = form""")
 def parsed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions of objects and namespaces as regions of their own."""
-    regions = parse.regions_of(_holders(spark, sf_dir)).withColumn("path", F.lit("holder.tsx"))
+    regions = parse.regions_of(parse.parse_files(_holder_files(spark, sf_dir))).withColumn("path", F.lit("holder.tsx"))
     return parse.parts_of(regions).select("file", "ordinal", "name", "kind", "start_line", "end_line", "exported", "has_jsx", "has_hooks", "has_async")
 
 
@@ -160,9 +166,7 @@ def parsed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file, replace(name, '#', file) AS name FROM k JOIN parts ON c % 4 = form UNION ALL SELECT file, unnest(['one', 'few']) || file FROM k WHERE c % 4 = 2""")
 def replaced_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regions of each file, those that hold several functions replaced by them."""
-    regions = parse.regions_of(_holders(spark, sf_dir)).withColumns({"path": F.lit("holder.tsx"), "lines": F.col("end_line") - F.col("start_line") + 1})
-    parts = parse.parts_of(regions).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
-    return symbols.split_regions(regions.select("file", "ordinal", "name", "lines"), parts).select("file", "name")
+    return parse.replaced_regions(_holder_files(spark, sf_dir)).select("file", "name")
 
 
 _COPIES = [

@@ -4,8 +4,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.operators import workspace
+from sparkloom.operators import symbols, workspace
+from sparkloom.plans import code_queries
+from sparkloom.sources import parse
 
 REGIONS = "region int, name string, kind string, used array<string>, source_path string"
 FILES = "path string, exports array<string>, imports array<string>, kinds array<string>, line_count int, is_barrel boolean, framework string"
@@ -51,3 +54,32 @@ def test_merge_suggestions_of_copies_against_all_pairs(spark, seed):
     for row in sorted(found, key=lambda x: x["rank"]):
         got[row.region].append((row.path, round(row.score * 100), row.shared, row.too_long))
     assert got == want
+
+
+def test_replaced_regions_parse_a_file_once(spark, tmp_path):
+    spark.range(5000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    found = code_queries.replaced_regions(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    # A small table is much work: it is dealt to tasks before it is parsed.
+    assert found.rdd.getNumPartitions() == 3
+    # Of each form: two parts; three; two regions that stay; three.
+    assert found.count() == 1250 * (2 + 3 + 2 + 3)
+
+
+def test_replaced_regions_are_what_the_relations_give(spark):
+    texts = [h.replace("{0}", str(i)) for i, h in enumerate(code_queries._HOLDERS)]
+    two = "\n".join(texts)
+    odd = ["", None, "const a = 1\n\n\x1f \u00a0const b = () => 2 // c\n", two, two + two, "function f() {\n" + "  x();\n" * 20 + "}\n", "const é = {\n" + " //\n" * 15 + "'a': () => 1, b: function () {} };"]
+    rows = [(str(i), path, t) for i, t in enumerate([*texts, *odd, texts[0]]) for path in ("a.tsx", "b.ts", "c.py", None)]
+    rows.append(rows[0])
+    files = spark.createDataFrame(rows, "file_id string, path string, text string")
+    for path in ("a.tsx", "b.ts", "c.py"):
+        some = files.where(F.col("path") == path).dropDuplicates(["file_id"])
+        regions = parse.regions_of(parse.parse_files(some)).withColumns({"path": F.lit(path), "lines": F.col("end_line") - F.col("start_line") + 1})
+        parts = parse.parts_of(regions).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
+        want = symbols.split_regions(regions.select("file", "ordinal", "name", "lines"), parts).select("file", "major", "minor", "name", "lines")
+        assert sorted(map(tuple, parse.replaced_regions(some).collect())) == sorted(map(tuple, want.collect()))
+    # Rows that repeat stay repeated; a null path is that of no language.
+    assert parse.replaced_regions(files).where("file = '0' and name like 'get%'").count() == 3
+    assert parse.replaced_regions(files.limit(0)).count() == 0
