@@ -1,13 +1,15 @@
-"""Near-duplicates by word-shingle similarity, found through SimHash fingerprints of several views of a text.
-
-One fingerprint of a whole text at a similarity of 0.8 differs in about ten of 64 bits. Distance tables
-cannot search that far: unrelated fingerprints differ in their pivot coordinates by about as much. So
-candidates come from views, and this is min-wise sampling with SimHash as its digest: each view
-fingerprints a small sample of the shingles, the ones that are smallest under the view's hash, and two
-texts of Jaccard similarity s agree in a view with a probability of about s ** sample, in one of all
-views with near certainty. Of the candidates, those whose whole fingerprints differ in too many bits
-are discarded, and the survivors are verified by the Jaccard similarity of their whole shingle sets.
-Texts of few shingles also meet at the shingles that two similar ones must share.
+"""Near-duplicates by word-shingle similarity, found through SimHash fingerprints and tables of distances to references.
+
+Each text has a SimHash of its shingles and, stored beside it, the table of its distances to the reference
+fingerprints (``simhash.pivot_table``). First the fingerprints are searched by distance, with the keys and
+discards of ``simhash.fingerprint_links``: what differs in two bits at most is found whatever else it shares.
+A similarity of 0.8 is about ten of 64 bits, farther than any key of distances reaches, so the search goes on
+over views: each view fingerprints a small sample of the shingles, the ones that are smallest under the
+view's hash, and two texts of Jaccard similarity s agree in a view with a probability of about s ** sample,
+in one of all views with near certainty. Texts of few shingles also meet at the shingles that two similar
+ones must share. Every candidate, however found, is discarded if a coordinate of the two distance tables
+differs by more than MOST_BITS (then so do the fingerprints, by the triangle inequality), then if the
+fingerprints do; the survivors are verified by the Jaccard similarity of their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import settle, splitmix
 from sparkloom.llm.graph import connected_components
 from sparkloom.llm.linking import SHORT_LIST, dealt, each_cell, in_cells, representative_pairs, shared_postings, short_pairs, with_roots, with_sizes
-from sparkloom.llm.simhash import shingle_hashes, simhash
+from sparkloom.llm.simhash import PIVOTS, fingerprint_links, near_pivots, pivot_table, shingle_hashes, simhash
 
 VIEWS = 16
 SAMPLE = 4
@@ -33,11 +35,14 @@ FEW = 32
 #: Whole fingerprints of sets at a similarity of 0.8 differ in 9.7 bits on average, with a deviation of 2.9; in more
 #: than this about once in a million pairs. Not asked of texts with FEW shingles or fewer.
 MOST_BITS = 24
+#: Fingerprints are searched by distance up to this many bits.
+SEARCHED_BITS = 2
 #: The smallest shingles of a member that are compared within the cells of long lists; texts of more are estimated there,
 #: pass with a similarity less by a margin of six standard deviations, and are verified whole.
 IN_CELL = 512
 MARGIN = 0.11
 _SEEDS = np.array([splitmix(100 + v) for v in range(VIEWS)], np.uint64)
+_PIVOTS = np.array(PIVOTS, np.uint64)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -126,10 +131,26 @@ def _with_digest(df: DataFrame, text_column: str) -> DataFrame:
     return df.mapInArrow(run, df.withColumn("__cls", F.lit(b"").cast("binary")).schema)
 
 
-def _may_be_similar(similarity: float, n: Column, fp: Column, m: Column, gp: Column) -> Column:
-    """Whether sets of n and m shingles with the fingerprints fp and gp can be that similar."""
-    small, large = F.least(n, m), F.greatest(n, m)
-    return (small >= similarity * large - 1e-9) & ((small <= FEW) | (F.bit_count(fp.bitwiseXOR(gp)) <= MOST_BITS))
+def _may_be_similar(similarity: float, x: Column, y: Column) -> Column:
+    """Whether sets with the sketches x and y (n, fp and the distance table t0, t1) can be that similar."""
+    small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    tables = near_pivots(F.array(x["t0"], x["t1"]), F.array(y["t0"], y["t1"]), MOST_BITS)
+    near = tables & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= MOST_BITS)
+    return (small >= similarity * large - 1e-9) & ((small <= FEW) | near)
+
+
+def _searched(sized: DataFrame) -> DataFrame:
+    """(node, at, rep, rep_at) of classes whose fingerprints the distance tables find within SEARCHED_BITS; sized(node, at).
+
+    Classes of one fingerprint meet its first class, and the first classes of two linked fingerprints meet.
+    """
+    first = settle(sized.groupBy(F.col("at.fp").alias("fp")).agg(F.min(F.struct("node", "at")).alias("one")))
+    equal = sized.join(first, F.col("at.fp") == F.col("fp")).select("node", "at", F.col("one.node").alias("rep"), F.col("one.at").alias("rep_at")).where("node <> rep")
+    links = fingerprint_links(first.select("fp"), SEARCHED_BITS)
+    left = first.select(F.col("fp").alias("f"), F.col("one.node").alias("node"), F.col("one.at").alias("at"))
+    right = first.select(F.col("fp").alias("g"), F.col("one.node").alias("rep"), F.col("one.at").alias("rep_at"))
+    met = links.join(left, F.col("a") == F.col("f")).join(right, F.col("b") == F.col("g")).select("node", "at", "rep", "rep_at")
+    return equal.unionByName(met)
 
 
 def _cell_links(blk: np.ndarray, node: list[bytes], root: list[bytes], n: np.ndarray, fp: np.ndarray, sets: list[bytes], both: bool, similarity: float) -> list[tuple]:
@@ -143,6 +164,7 @@ def _cell_links(blk: np.ndarray, node: list[bytes], root: list[bytes], n: np.nda
     lengths = np.array([len(x) for x in own])
     whole = lengths == n
     fp = fp.view(np.uint64)
+    tables = np.bitwise_count(fp[:, None] ^ _PIVOTS).astype(np.int8)
     label = np.unique(np.array(root, object), return_inverse=True)[1]
     # Which members have each shingle, as ranges of one array.
     shingles, at = np.unique(np.concatenate(own), return_inverse=True)
@@ -153,10 +175,13 @@ def _cell_links(blk: np.ndarray, node: list[bytes], root: list[bytes], n: np.nda
     for x in range(m - 1):
         y = np.arange(x + 1, m)
         fit = (label[y] != label[x]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
-        fit &= (np.minimum(n[x], n[y]) <= FEW) | (np.bitwise_count(fp[y] ^ fp[x]) <= MOST_BITS)
         if both:
             fit &= blk[y] != blk[x]
         y = y[fit]
+        # Discarded by the distance tables, then by the bits.
+        few = np.minimum(n[x], n[y]) <= FEW
+        y = y[few | (np.abs(tables[y] - tables[x]) <= MOST_BITS).all(axis=1)]
+        y = y[(np.minimum(n[x], n[y]) <= FEW) | (np.bitwise_count(fp[y] ^ fp[x]) <= MOST_BITS)]
         if not len(y):
             continue
         lo, count = begin[mine[x]], begin[mine[x] + 1] - begin[mine[x]]
@@ -200,7 +225,8 @@ def near_duplicate_groups(df: DataFrame, id_column: str = "doc_id", text_column:
     """(cls, n, least, keeper_id, keeper_cls): for each text's word digest its group's representative.
 
     Texts are linked if the Jaccard similarity of their word shingles is ``similarity`` or more; equal
-    words are one text, so copies are never paired. Members of a short list meet pair by pair, those of
+    words are one text, so copies are never paired. Candidates are what the distance tables find near
+    and what shares a view. Members of a short list meet pair by pair, those of
     a long one meet its representatives, and all that this hasn't connected is compared all with all
     within tasks. Texts of fewer words are
     one shingle. All texts without words are one group. keeper: the smallest id of the group, a null id last, ties by digest.
@@ -213,11 +239,14 @@ def near_duplicate_groups(df: DataFrame, id_column: str = "doc_id", text_column:
     few = nodes.select(F.col("cls").alias("node"), F.lit(VIEWS).alias("view"), F.explode("few").alias("hash"))
     shared = shared_postings(seen.unionByName(few).select(F.xxhash64("view", "hash").alias("key"), "node"))
     # Texts without words have no postings: they are one class.
-    sized = nodes.select(F.col("cls").alias("c"), "fp", "n")
+    tabled = nodes.select(F.col("cls").alias("c"), "fp", "n", pivot_table(F.col("fp")).alias("table"))
+    sized = settle(tabled.select("c", "fp", "n", F.get("table", F.lit(0)).alias("t0"), F.get("table", F.lit(1)).alias("t1")))
     shared = settle(with_sizes(shared).join(sized, F.col("node") == F.col("c")).drop("c"))
-    placed = shared.withColumn("at", F.struct("fp", "n"))
+    sketch = F.struct("fp", "n", "t0", "t1")
+    placed = shared.withColumn("at", sketch)
     met = short_pairs(placed).unionByName(representative_pairs(placed.where(F.col("size") > SHORT_LIST)))
-    near = _may_be_similar(similarity, F.col("at.n"), F.col("at.fp"), F.col("rep_at.n"), F.col("rep_at.fp"))
+    met = met.unionByName(_searched(sized.where("n > 0").select(F.col("c").alias("node"), sketch.alias("at"))))
+    near = _may_be_similar(similarity, F.col("at"), F.col("rep_at"))
     pairs = settle(met.where(near).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())
 
     def sets_of(classes: DataFrame) -> DataFrame:
